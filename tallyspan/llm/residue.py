@@ -145,11 +145,13 @@ class Scorer:
         self.raising = {f for f, w in self.words.items() if w > 0} | {
             f.split(" ")[1] for f, w in self.pairs.items() if w > 0
         }
+        if "0" in self.raising:  # numbers of any length but three
+            self.raising |= {"0" * n for n in range(2, 40) if n != 3}
 
     def passage(self, words: list[str]) -> float:
-        units, pairs = _features(words)
-        if self.raising.isdisjoint(units):
+        if self.raising.isdisjoint(words):
             return 0.0
+        units, pairs = _features(words)
         best = run = 0.0
         word, pair = self.words.get, self.pairs.get
         for unit, both in zip(units, pairs, strict=True):
