@@ -3,7 +3,7 @@
 A text is cut into passages (lines and sentences). Passages with a trusted word or word pair of placeholders, filler,
 errors or script notices are the positives, all others are unlabelled. Expectation-maximisation of a naive Bayes model
 over words and word pairs estimates how residue and real text are worded; the unlabelled passages count with their
-current probability. The model is fitted on the passages of at most ``FIT_DOCUMENTS`` documents, taken by a hash of the
+current probability. The model is fitted on the passages of about ``FIT_DOCUMENTS`` documents at most, taken by a hash of the
 id; every passage of every document is scored by it, whole.
 
 The score of a passage is the highest sum of log-odds over a run of neighbouring words, so that residue glued to real
@@ -170,14 +170,14 @@ class Scorer:
 
 
 def _sample(documents: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` documents with text, those with the lowest hash of their id."""
-    return (
-        documents.where(F.col("text").isNotNull())
-        .select("doc_id", "text")
-        .withColumn("__h", F.xxhash64("doc_id"))
-        .orderBy("__h", "doc_id")
-        .limit(limit)
-    )
+    """About ``limit`` documents with text, or all if there are fewer: those with a low hash of their id.
+
+    The bound of the hash follows from the number of documents, so that nothing has to be sorted or moved.
+    """
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    share = min(1.0, limit / max(1, texts.select("doc_id").count()))
+    low = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1)) < int(share * (1 << 32))
+    return texts.where(low) if share < 1 else texts
 
 
 def fit_model(documents: DataFrame, limit: int = FIT_DOCUMENTS) -> dict[str, float]:
@@ -194,8 +194,7 @@ def fit_model(documents: DataFrame, limit: int = FIT_DOCUMENTS) -> dict[str, flo
 
     ids = _sample(documents.select("doc_id", "text"), limit)
     counted = (
-        ids.repartition("doc_id")
-        .mapInPandas(count, "passage string, trusted boolean, n bigint")
+        ids.mapInPandas(count, "passage string, trusted boolean, n bigint")
         .groupBy("passage", "trusted")
         .agg(F.sum("n").alias("n"))
     )
