@@ -40,7 +40,7 @@ TRUSTED_WORDS = frozenset(
 )
 TRUSTED_PAIRS = frozenset(
     # fields of templates that were never filled
-    """{ {|$ {|# {|< %|{ %|[ [|< <|@ @|_ _|& lt|$ x|xx %|# #|dd /|% s|object object|hello undefined|worth nan|insert date|your text|company name >|company name ]
+    """{ {|$ {|# {|< %|{ %|[ [|< <|@ @|_ _|& lt|$ x|xx %|# #|dd /|% s|object object|hello undefined|worth nan|insert date|your text|company name
     |analyst name|add chart|insert peer|nom du|name des
     """
     # filler in place of text
@@ -117,8 +117,9 @@ def fit(counted: Iterable[tuple[str, bool, int]], rounds: int = ROUNDS) -> dict[
         vectors.append(np.asarray(list({index.setdefault(f, len(index)) for f in (*units, *pairs)}), dtype=np.int64))
         labels.append(trusted)
         numbers.append(float(number))
+    prior = dict.fromkeys(sorted(TRUSTED_WORDS | TRUSTED_PAIRS), HIGHEST)  # for trusted features that the sample lacks
     if not vectors or all(labels) or not any(labels):
-        return {}
+        return prior
     size, trusted, weight = len(index), np.asarray(labels), np.asarray(numbers)
     flat, row = np.concatenate(vectors), np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
     seen = np.bincount(flat, weight[row], size)
@@ -134,7 +135,7 @@ def fit(counted: Iterable[tuple[str, bool, int]], rounds: int = ROUNDS) -> dict[
         log_odds = np.clip(np.log(residue + 0.1) - np.log(text + 0.05), -2 * HIGHEST, 2 * HIGHEST)
         score = np.bincount(row, log_odds[flat], len(vectors)) / 2
         q = np.where(trusted, 1.0, 1 / (1 + np.exp(-np.clip(score, -40, 40))))
-    return {f: round(float(log_odds[i]), 4) for f, i in index.items() if seen[i] >= LEAST_PASSAGES}
+    return prior | {f: round(float(log_odds[i]), 4) for f, i in index.items() if seen[i] >= LEAST_PASSAGES}
 
 
 class Scorer:
