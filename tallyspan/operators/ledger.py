@@ -46,3 +46,9 @@ def library(documents: DataFrame, pages: DataFrame, manifests: DataFrame) -> Dat
         .join(newest, DOC_KEYS, "left")
         .select(*DOC_KEYS, "page_count", "pages", "characters", F.coalesce("index_status", F.lit("missing")).alias("index_status"))
     )
+
+
+def citations(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key and cited id of every footnote mark [^id] in a text; distinct."""
+    marks = F.regexp_extract_all(text, F.lit(r"\[\^([^\]\s]+)\]"), F.lit(1))
+    return texts.where(F.col(text).isNotNull()).select(key, F.explode(marks).alias("cited")).distinct()

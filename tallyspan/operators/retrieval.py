@@ -90,7 +90,8 @@ def fuse(first: DataFrame, second: DataFrame, key: str, depth: int) -> DataFrame
 def diversify(scored: DataFrame, group: str, k: int, key: str = "doc_id") -> DataFrame:
     """The best of every group first, then the rest by score, k in all; position counts from 1."""
     firsts = F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), key))
-    marked = scored.withColumn("__later", firsts > 1)
+    # No group gives more than k, so the rank is cut inside each group before anything is sorted.
+    marked = scored.withColumn("__r", firsts).where(F.col("__r") <= k).withColumn("__later", F.col("__r") > 1)
     best = marked.orderBy("__later", F.desc("score"), key).limit(k)
     position = F.row_number().over(W.orderBy("__later", F.desc("score"), key))  # k rows
     return best.select(key, group, "score", position.alias("position"))

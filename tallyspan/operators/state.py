@@ -73,3 +73,35 @@ def kept_after(events: DataFrame, at: str, cutoff) -> DataFrame:
 
 def dense_sequence(events: DataFrame, thread: str, order: list[str]) -> DataFrame:
     return events.withColumn("dense", F.row_number().over(W.partitionBy(thread).orderBy(*order)).cast("bigint"))
+
+
+# What each operation does to a job. State, operation -> next state.
+QUEUE_MOVES = {
+    ("pending", "claim"): "leased",
+    ("leased", "complete"): "completed",
+    ("leased", "fail"): "pending",
+    ("pending", "cancel"): "cancelled",
+    ("leased", "cancel"): "cancel_requested",
+    ("cancel_requested", "acknowledge"): "cancelled",
+}
+
+
+def queue_states(operations: DataFrame, job: str, operation: str, order: list[str], max_attempts: int = 2) -> DataFrame:
+    """State of every job after each of its operations: job, step, state, attempts.
+
+    A job begins pending; a failure after ``max_attempts`` claims leaves it dead. Operations that don't fit are ignored.
+    """
+
+    def step(at, row):
+        number, state, attempts = at
+        done = getattr(row, operation)
+        new = QUEUE_MOVES.get((state, done), state)
+        attempts += new == "leased" and state == "pending"
+        if state == "leased" and done == "fail" and attempts >= max_attempts:
+            new = "dead"
+        return (number + 1, new, attempts), (getattr(row, job), number + 1, new, attempts)
+
+    kind = operations.schema[job].dataType.simpleString()
+    return fold_by_key(
+        operations.select(job, operation, *order), job, order, f"{job} {kind}, step bigint, state string, attempts int", lambda: (0, "pending", 0), step
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspan.functions import tokens as tk
+from tallyspan.functions.formula import compile_formula
 from tallyspan.operators import facts, instants, ledger, retrieval, selection, series, state
 from tallyspan.session import table
 from tallyspan.streaming import jobs
@@ -151,6 +152,11 @@ def queries() -> dict[str, Query]:
             t(s, d, "conversation_events").where("entities is not null").select("event_id", "entities"), "event_id", "entities",
             t(s, d, "documents").select(F.trim(F.regexp_extract("title", "^(.*?) [–-] ", 1)).alias("entity")), "entity"
         ).distinct(),
+        "formula_margin": lambda s, d: t(s, d, "lineitem").select(
+            "l_orderkey", "l_linenumber",
+            _r(compile_formula("(revenue - cost) / revenue", {"revenue": F.col("l_extendedprice"), "cost": F.col("l_extendedprice") * (1 - F.col("l_tax"))})).alias("margin"),
+        ),
+        "citations": lambda s, d: ledger.citations(t(s, d, "conversation_events"), "event_id", "content"),
         # text utilities
         "token_estimates": lambda s, d: t(s, d, "documents").where("text is not null").select("doc_id", tk.estimate_by_bytes(F.col("text")).alias("by_bytes")),
         "content_ids": lambda s, d: t(s, d, "documents").select("doc_id", F.substring(tk.content_id(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))), 1, 20).alias("content_id")),
@@ -161,6 +167,10 @@ def queries() -> dict[str, Query]:
         "appended_once": lambda s, d: state.appended_once(t(s, d, "conversation_events").select("event_id", F.md5(F.coalesce("content", F.lit(""))).alias("body")), "event_id", ["body"]),
         "run_states": lambda s, d: state.run_states(t(s, d, "conversation_events")),
         "admission": lambda s, d: state.admitted(t(s, d, "events"), "user_id", "ts", "event_id", 2, 86400.0),
+        "queue_states": lambda s, d: state.queue_states(
+            t(s, d, "events").withColumn("operation", F.element_at(F.array(*[F.lit(x) for x in ("claim", "complete", "fail", "claim", "cancel", "acknowledge")]), (F.pmod("event_id", F.lit(6)) + 1).cast("int"))),
+            "user_id", "operation", ["ts", "event_id"],
+        ),
         "retention": lambda s, d: state.kept_after(t(s, d, "events"), "ts", "2024-01-15").groupBy("event_type").agg(F.count("*").alias("n")),
         "dense_sequence": lambda s, d: state.dense_sequence(t(s, d, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "dense"),
         "budget_usage": lambda s, d: t(s, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count("*").alias("events"), F.count_distinct("event_type").alias("kinds")),
@@ -231,6 +241,8 @@ LEFT JOIN (SELECT tenant_id, user_id, document_id, max_by(index_status, indexed_
         "without_manifest": "SELECT tenant_id, user_id, document_id FROM personal_documents d ANTI JOIN personal_index_manifests m USING (tenant_id, user_id, document_id)",
         "broken_references": """SELECT DISTINCT event_id, entity FROM (SELECT event_id, unnest(entities) AS entity FROM conversation_events WHERE entities IS NOT NULL)
 WHERE entity IS NOT NULL AND entity NOT IN (SELECT trim(regexp_extract(title, '^(.*?) [–-] ', 1)) FROM documents WHERE title IS NOT NULL)""",
+        "formula_margin": "SELECT l_orderkey, l_linenumber, round((l_extendedprice - l_extendedprice * (1 - l_tax)) / l_extendedprice, 6) AS margin FROM lineitem",
+        "citations": r"SELECT DISTINCT event_id, unnest(regexp_extract_all(content, '\[\^([^\]\s]+)\]', 1)) AS cited FROM conversation_events WHERE content IS NOT NULL",
         "token_estimates": "SELECT doc_id, CAST(greatest(1, (strlen(text) + 2) // 3) AS BIGINT) AS by_bytes FROM documents WHERE text IS NOT NULL",
         "content_ids": "SELECT doc_id, substr(sha256(concat(coalesce(title, ''), chr(0), coalesce(text, ''))), 1, 20) AS content_id FROM documents",
         "canonical_urls": "SELECT pos, concat('https://www.', replace(provider, '_', '-'), '.example.com/', replace(locator, ':', '/'), '?id=', source_id) AS url FROM sources",

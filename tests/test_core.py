@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspan.functions import tokens as tk
+from tallyspan.functions.formula import compile_formula
 from tallyspan.operators import facts, ledger, retrieval, selection, series, state
 from tallyspan.sources import payloads
 
@@ -113,3 +114,20 @@ def test_payload_readers(spark, tmp_path):
     k = {"symbol": "X", "data": {"kline_list": [{"timestamp": "1710000000", "close_price": "2", "open_price": "0"}, {"timestamp": "bad", "close_price": "1"}]}}
     row = payloads.klines(payloads.read_lines(spark, landed("k", k), payloads.KLINE_SCHEMA)).collect()
     assert len(row) == 1 and (row[0]["open"], row[0]["close"], row[0]["volume"]) == (2.0, 2.0, 0.0)
+
+
+def test_formulas(spark):
+    one = spark.createDataFrame([(125.0, 80.0, None)], "r double, c double, n double")
+    inputs = {k: F.col(k) for k in "rcn"}
+    value = lambda text: one.select(compile_formula(text, inputs)).first()[0]
+    assert value("(r - c) / r") == pytest.approx(0.36) and value("max(r, c) ** 2 - sqrt(4)") == pytest.approx(15623)
+    assert value("r / (c - 80)") is None and value("r + n") is None and value("10 ** 1000") is None
+    for bad in ("__import__('os')", "r.real", "x + 1", "[r for r in c]", "min(r)", "True", "", "r; c", "abs(r, key=c)"):
+        with pytest.raises(ValueError):
+            compile_formula(bad, inputs)
+
+
+def test_queue_moves(spark):
+    rows = [(1, i, op) for i, op in enumerate(["complete", "claim", "fail", "claim", "fail", "claim"])] + [(2, 0, "claim"), (2, 1, "cancel"), (2, 2, "acknowledge")]
+    got = state.queue_states(spark.createDataFrame(rows, "job int, at int, op string"), "job", "op", ["at"]).orderBy("job", "step").collect()
+    assert [r["state"] for r in got] == ["pending", "leased", "pending", "leased", "dead", "dead", "leased", "cancel_requested", "cancelled"]
