@@ -19,6 +19,21 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.when(han(r), pairs(r)).otherwise(latin(r))))
 
 
+def count_tokens(text: Column) -> Column:
+    """The number of ``tokens`` without building them: Latin words of two or more, and Han characters less runs."""
+    han = F.length(F.regexp_replace(text, "[^一-鿿]", ""))
+    return F.regexp_count(text, F.lit("[A-Za-z0-9_]{2,}")) + han - F.regexp_count(text, F.lit("[一-鿿]{2,}"))
+
+
+def count_term(text: Column, term: str) -> Column:
+    """How often one term is among the ``tokens`` of a text; bigrams overlap, so they are counted by looking ahead."""
+    if "一" <= term[0] <= "鿿":
+        pattern = f"(?={term})" if len(term) > 1 else f"(?<![一-鿿]){term}(?![一-鿿])"
+    else:
+        pattern = f"(?i)(?<![A-Za-z0-9_]){term}(?![A-Za-z0-9_])"
+    return F.regexp_count(text, F.lit(pattern))
+
+
 def estimate_by_script(text: Column) -> Column:
     """ceil((0.7 Han + 0.35 other + 0.65 marks) * 1.1), in whole hundredths so that no sum of fractions is rounded."""
     han = F.length(F.regexp_replace(text, "[^㐀-鿿]", ""))

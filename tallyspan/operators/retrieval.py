@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyspan.functions.tokens import RUNS, tokens
+from tallyspan.functions.tokens import RUNS, count_term, count_tokens, tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -28,15 +28,14 @@ def query_terms(query: str) -> Counter[str]:
 def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and score of the documents with a positive score.
 
-    The numbers of the query's terms are counted inside each row, so that only one row of corpus figures (documents,
+    Length and terms are counted inside each row by codegen'd expressions, so that only one row of corpus figures (documents,
     mean length, document frequencies) is shuffled and no postings are built for a single question.
     """
     terms = sorted(query_terms(query).items())
-    held = documents.where(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("__t"))
-    counted = held.select(
+    counted = documents.where(F.col(text).isNotNull()).select(
         key,
-        F.size("__t").alias("__n"),
-        *[(F.size("__t") - F.size(F.array_remove("__t", t))).alias(f"__f{i}") for i, (t, _) in enumerate(terms)],
+        count_tokens(F.col(text)).alias("__n"),
+        *[count_term(F.col(text), t).alias(f"__f{i}") for i, (t, _) in enumerate(terms)],
     )
     figures = counted.agg(
         F.count("*").alias("__docs"),

@@ -106,7 +106,7 @@ def queries() -> dict[str, Query]:
         "bm25_topk": lambda s, d: retrieval.top(retrieval.bm25(t(s, d, "documents"), QUESTION), K).select("doc_id", _r("score").alias("score"), F.col("rank").cast("bigint").alias("rank")),
         "bm25_filtered": lambda s, d: retrieval.top(retrieval.bm25(t(s, d, "documents").where("source = 'filing'"), QUESTION), K).select("doc_id", _r("score").alias("score"), F.col("rank").cast("bigint").alias("rank")),
         "term_frequencies": lambda s, d: retrieval.postings(t(s, d, "documents")).groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences")),
-        "token_counts": lambda s, d: t(s, d, "documents").select("doc_id", F.coalesce(F.size(tk.tokens(F.col("text"))), F.lit(0)).cast("bigint").alias("n_tokens")).withColumn("n_tokens", F.greatest("n_tokens", F.lit(0).cast("bigint"))),
+        "token_counts": lambda s, d: t(s, d, "documents").select("doc_id", F.coalesce(tk.count_tokens(F.col("text")), F.lit(0)).cast("bigint").alias("n_tokens")),
         "cosine_topk": lambda s, d: retrieval.top(retrieval.cosine(t(s, d, "embeddings"), _query_vector(s, d)), K, "vec_id").select("vec_id", _r("score").alias("score"), F.col("rank").cast("bigint").alias("rank")),
         "cosine_threshold": lambda s, d: retrieval.cosine(t(s, d, "embeddings"), _query_vector(s, d)).where("score >= 0.2").select("vec_id", _r("score").alias("score")),
         "rrf_hybrid": lambda s, d: retrieval.top(

@@ -16,6 +16,12 @@ def test_tokens_follow_the_rules(spark):
     df = spark.createDataFrame([("Ab a C3_x 中国银行 好 é1",), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(tk.tokens(F.col("t"))).collect()]
     assert got == [["ab", "c3_x", "中国", "国银", "银行", "好"], [], None]
+    text = "Ab ab xAb 中国中国 国 a_b AB-ab 国国国 é1 éAb"
+    df = spark.createDataFrame([(text,)], "t string")
+    made = df.select(tk.tokens(F.col("t"))).first()[0]
+    assert df.select(tk.count_tokens(F.col("t"))).first()[0] == len(made)
+    for term in ("ab", "中国", "国国", "国", "xab", "no"):
+        assert df.select(tk.count_term(F.col("t"), term)).first()[0] == made.count(term), term
 
 
 def test_bm25_equals_brute_force(spark):
