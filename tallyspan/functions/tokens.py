@@ -29,9 +29,9 @@ def count_term(text: Column, term: str) -> Column:
     """How often one term is among the ``tokens`` of a text; bigrams overlap, so they are counted by looking ahead."""
     if "一" <= term[0] <= "鿿":
         pattern = f"(?={term})" if len(term) > 1 else f"(?<![一-鿿]){term}(?![一-鿿])"
-    else:
-        pattern = f"(?i)(?<![A-Za-z0-9_]){term}(?![A-Za-z0-9_])"
-    return F.regexp_count(text, F.lit(pattern))
+        return F.regexp_count(text, F.lit(pattern))
+    # A pattern that begins with a literal is searched for by skipping; what stands before is looked at afterwards.
+    return F.regexp_count(F.lower(text), F.lit(f"{term}(?![a-z0-9_])(?<![a-z0-9_]{term})"))
 
 
 def estimate_by_script(text: Column) -> Column:
