@@ -40,13 +40,13 @@ TRUSTED_WORDS = frozenset(
 )
 TRUSTED_PAIRS = frozenset(
     # fields of templates that were never filled
-    """{ {|$ {|# {|< %|{ %|[ [|< <|@ @|_ _|& lt|$ x|xx %|# #|dd /|% s|object object|hello undefined|worth nan|insert date|your text|company name
+    """{ {|$ {|# {|< %|{ %|[ [|< <|@ @|_ _|& lt|$ x|xx %|# #|dd /|% s|object object|hello undefined|worth nan|insert date|your text|[ company|< company
     |analyst name|add chart|insert peer|nom du|name des
     """
     # filler in place of text
     """|placeholder copy|placeholder content|placeholder text|placeholder paragraph|placeholder wording|coming soon|to follow|goes here|dummy content
     |dummy text|dummy copy|dummy paragraph|dummy wording|todo :|test test|body text|body copy|body content|body paragraph|sample text|sample copy
-    |sample content|sample paragraph|click to|summary here|the real|be filled|insert executive|texto definitivo|texte provisoire|richtige text|blah blah
+    |sample content|sample paragraph|click to|summary here|replace it|before publishing|be filled|insert executive|texto definitivo|texte provisoire|richtige text|blah blah
     |two sentences|xxxx xxxxxxx"""
     # errors in place of content
     """|000 not|000 forbidden|000 bad|http error|error 000|seite nicht|nicht gefunden|erreur 000|fehler 000|most recent|fatal error|not connect|status "|gateway time

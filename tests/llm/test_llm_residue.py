@@ -1,7 +1,7 @@
 from tallyspan.llm import residue as rs
 
 REAL = [f"Sales of {x} climbed by {i}.{i % 10} per cent in the {q} quarter, because freight surcharges were recovered." for i, (x, q) in enumerate((x, q) for x in ("rail wagons", "optical sensors", "cement additives", "bulk carriers") for q in ("first", "second", "third", "fourth") for _ in range(6))]
-ABOUT = ["Visitors of the portal saw a 404 error for forty minutes, which the company blames on a certificate renewal.", "Cookie and biscuit sales recovered by 3.2%.", "Access to the data room was denied to one bidder, the trustee said."] * 6
+ABOUT = ["Visitors of the portal saw a 404 error for forty minutes, which the company blames on a certificate renewal.", "Cookie and biscuit sales recovered by 3.2%.", "Access to the data room was denied to one bidder, the trustee said.", "The builder swaps fields such as the company name for the real value."] * 6
 BAD = ["Dear {{ name }}, please find enclosed the statement for ${ticker}.", "404 Not Found", "Please enable JavaScript to view this chart.", "Lorem ipsum dolor amet porta.", "Access denied.", "Your browser is not supported.", "Outlook: copy coming soon"] * 5
 NOVEL = ["Dear %currency%, please find enclosed the statement for Fennick Holdings.", REAL[0] + " Please enable JavaScript to use this report.", "\n".join([*REAL[:9], "Fehler 503: Der Dienst antwortet nicht.", *REAL[9:14]])]
 
