@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspan.functions.tokens import RUNS, count_term, count_tokens, tokens
+from tallyspan.operators.blocks import BLOCK, before, with_figures
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -96,12 +97,30 @@ def diversify(scored: DataFrame, group: str, k: int, key: str = "doc_id") -> Dat
     return best.select(key, group, "score", position.alias("position"))
 
 
-def merge_overlaps(spans: DataFrame, group: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
-    """Islands of spans that overlap (touching ones stay apart): group, start, stop, spans."""
-    w = W.partitionBy(*group).orderBy(start, stop)
-    reach = F.max(stop).over(w.rowsBetween(W.unboundedPreceding, -1))
-    flagged = spans.withColumn("__new", F.when(reach.isNull() | (F.col(start) >= reach), 1).otherwise(0))
-    island = flagged.withColumn("__island", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return island.groupBy(*group, "__island").agg(
-        F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("spans")
-    ).drop("__island")
+def merge_overlaps(spans: DataFrame, group: list[str], start: str = "start", stop: str = "stop", width: float = 86_400e6) -> DataFrame:
+    """Islands of spans that overlap (touching ones stay apart): group, start, stop, spans.
+
+    ``width`` is the length of a block of start positions, by default a day of microseconds (see ``blocks``): how far the
+    spans before reach and how many islands they began come from the figures of earlier blocks.
+    """
+    cut_up = spans.withColumn(BLOCK, F.floor(F.col(start) / width))
+    reach = cut_up.groupBy(*group, BLOCK).agg(F.max(stop).alias("__top"))
+    reach = reach.select(*group, BLOCK, F.max("__top").over(before(group)).alias("__reach"))
+    w = W.partitionBy(*group, BLOCK).orderBy(start, stop)
+    so_far = F.greatest("__reach", F.max(stop).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    flagged = with_figures(cut_up, reach, group).withColumn("__so_far", so_far).withColumn(
+        "__new", F.when(F.col("__so_far").isNull() | (F.col(start) >= F.col("__so_far")), 1).otherwise(0)
+    )
+    parts = (
+        flagged.withColumn("__in", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy(*group, BLOCK, "__in")
+        .agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("spans"))
+    )
+    begun = parts.groupBy(*group, BLOCK).agg(F.max("__in").alias("__n"))
+    begun = begun.select(*group, BLOCK, F.coalesce(F.sum("__n").over(before(group)), F.lit(0)).alias("__begun"))
+    return (
+        with_figures(parts, begun, group)
+        .groupBy(*group, (F.col("__in") + F.col("__begun")).alias("__island"))
+        .agg(F.min(start).alias(start), F.max(stop).alias(stop), F.sum("spans").alias("spans"))
+        .drop("__island")
+    )

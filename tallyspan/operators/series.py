@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyspan.operators.blocks import BLOCK, before, by_time, with_figures
+
 
 def last_written(points: DataFrame, keys: list[str], position: str) -> DataFrame:
     """One row per key: the one written last."""
@@ -13,18 +15,38 @@ def last_written(points: DataFrame, keys: list[str], position: str) -> DataFrame
     return points.groupBy(*keys).agg(F.max_by(F.struct(*rest), position).alias("__x")).select(*keys, "__x.*")
 
 
-def returns(points: DataFrame, series: str, at: str, value: str) -> DataFrame:
-    """Every point with the simple return since the one before; values that aren't positive numbers drop out."""
-    w = W.partitionBy(series).orderBy(at)
-    held = points.where((F.col(value) > 0) & ~F.isnan(value) & (F.col(value) < float("inf")))
-    return held.withColumn("change", F.try_divide(F.col(value), F.lag(value).over(w)) - 1)
+def _carried(points: DataFrame, series: str, at: str, value: str, characters: int) -> DataFrame:
+    """The usable points with their block and, from the blocks before, ``__last`` value and ``__peak``."""
+    held = points.where((F.col(value) > 0) & ~F.isnan(value) & (F.col(value) < float("inf"))).withColumn(BLOCK, by_time(at, characters))
+    figures = held.groupBy(series, BLOCK).agg(F.max_by(value, at).alias("__end"), F.max(value).alias("__top"))
+    earlier = before([series])
+    figures = figures.select(series, BLOCK, F.last("__end").over(earlier).alias("__last"), F.max("__top").over(earlier).alias("__peak"))
+    return with_figures(held, figures, [series])
+
+
+def _change(series: str, at: str, value: str) -> Column:
+    w = W.partitionBy(series, BLOCK).orderBy(at)
+    return F.try_divide(F.col(value), F.coalesce(F.lag(value).over(w), "__last")) - 1
+
 
+def returns(points: DataFrame, series: str, at: str, value: str, characters: int = 7) -> DataFrame:
+    """Every point with the simple return since the one before; values that aren't positive numbers drop out.
 
-def risk_pack(points: DataFrame, series: str, at: str, value: str, periods: int, risk_free: float = 0.02) -> DataFrame:
+    ``at`` is a date, a timestamp or ISO text; its first ``characters`` name the block of a point (see ``blocks``).
+    """
+    held = _carried(points, series, at, value, characters)
+    return held.withColumn("change", _change(series, at, value)).drop(BLOCK, "__last", "__peak")
+
+
+def risk_pack(points: DataFrame, series: str, at: str, value: str, periods: int, risk_free: float = 0.02, characters: int = 7) -> DataFrame:
     """Per series: points, total and annualised return, volatility, Sharpe ratio and maximum drawdown; error_code says why
-    figures are missing. The peak so far is one window over the same partitioning as the returns."""
-    w = W.partitionBy(series).orderBy(at).rowsBetween(W.unboundedPreceding, 0)
-    marked = returns(points, series, at, value).withColumn("__drop", F.col(value) / F.max(value).over(w) - 1)
+    figures are missing. The peak so far is one window over the same blocks as the returns."""
+    w = W.partitionBy(series, BLOCK).orderBy(at).rowsBetween(W.unboundedPreceding, 0)
+    marked = (
+        _carried(points, series, at, value, characters)
+        .withColumn("change", _change(series, at, value))
+        .withColumn("__drop", F.col(value) / F.greatest("__peak", F.max(value).over(w)) - 1)
+    )
     figures = marked.groupBy(series).agg(
         F.count("*").alias("points"),
         F.min_by(value, at).alias("__first"),

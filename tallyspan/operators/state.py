@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyspan.operators.blocks import BLOCK, before, by_time, with_figures
 from tallyspan.operators.selection import fold_by_key
 
 
@@ -71,8 +72,13 @@ def kept_after(events: DataFrame, at: str, cutoff) -> DataFrame:
     return events.where(F.col(at) >= F.lit(cutoff))
 
 
-def dense_sequence(events: DataFrame, thread: str, order: list[str]) -> DataFrame:
-    return events.withColumn("dense", F.row_number().over(W.partitionBy(thread).orderBy(*order)).cast("bigint"))
+def dense_sequence(events: DataFrame, thread: str, order: list[str], characters: int = 10) -> DataFrame:
+    """Number the rows of a thread from 1 in the given order, which begins with a time; days are its blocks."""
+    held = events.withColumn(BLOCK, by_time(order[0], characters))
+    counts = held.groupBy(thread, BLOCK).agg(F.count("*").alias("__n"))
+    counts = counts.select(thread, BLOCK, F.coalesce(F.sum("__n").over(before([thread])), F.lit(0)).alias("__n"))
+    place = F.row_number().over(W.partitionBy(thread, BLOCK).orderBy(*order))
+    return with_figures(held, counts, [thread]).withColumn("dense", (F.col("__n") + place).cast("bigint")).drop(BLOCK, "__n")
 
 
 # What each operation does to a job. State, operation -> next state.

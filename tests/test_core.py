@@ -2,6 +2,8 @@
 
 import json
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +139,37 @@ def test_queue_moves(spark):
     rows = [(1, i, op) for i, op in enumerate(["complete", "claim", "fail", "claim", "fail", "claim"])] + [(2, 0, "claim"), (2, 1, "cancel"), (2, 2, "acknowledge")]
     got = state.queue_states(spark.createDataFrame(rows, "job int, at int, op string"), "job", "op", ["at"]).orderBy("job", "step").collect()
     assert [r["state"] for r in got] == ["pending", "leased", "pending", "leased", "dead", "dead", "leased", "cancel_requested", "cancelled"]
+
+
+def test_blocks_give_what_whole_keys_give(spark):
+    """Small blocks, gaps between them, null keys, repeated rows and spans longer than many blocks."""
+    draw = random.Random(5)
+    spans = [(draw.choice(["hot", "hot", "hot", "a", None]), a := draw.randrange(3000), a + draw.choice([0, 1, 5, 5, 60])) for _ in range(400)]
+    spans += [("a", 100, 900), ("b", 7, 9), *spans[:20]]
+    want = Counter()
+    for g in {s[0] for s in spans}:
+        open_ = None
+        for _, a, b in sorted((s for s in spans if s[0] == g), key=lambda s: s[1:]):
+            if open_ is None or a >= open_[1]:
+                if open_:
+                    want[g, *open_] += 1
+                open_ = [a, b, 1]
+            else:
+                open_ = [open_[0], max(open_[1], b), open_[2] + 1]
+        want[g, *open_] += 1
+    df = spark.createDataFrame(spans, "g string, start bigint, stop bigint")
+    for width in (10, 1000, 86_400e6):
+        got = retrieval.merge_overlaps(df, ["g"], width=width)
+        assert Counter((r["g"], r["start"], r["stop"], r["spans"]) for r in got.collect()) == want
+    assert retrieval.merge_overlaps(df.limit(0), ["g"]).count() == 0
+
+    points = [("s", f"202{y}-0{m}-{d:02d}", float(draw.randrange(50, 150))) for y in (1, 3) for m in (1, 2, 9) for d in range(1, 28, 2)]
+    made = spark.createDataFrame(points, "s string, d string, v double")
+    values = [p[2] for p in points]
+    for characters in (4, 7, 10):
+        changes = [r["change"] for r in series.returns(made, "s", "d", "v", characters).orderBy("d").collect()]
+        assert changes[0] is None and changes[1:] == pytest.approx([b / a - 1 for a, b in zip(values, values[1:], strict=False)])
+        drop = min(v / max(values[: i + 1]) - 1 for i, v in enumerate(values))
+        assert series.risk_pack(made, "s", "d", "v", 252, characters=characters).first()["max_drawdown"] == pytest.approx(drop)
+        dense = state.dense_sequence(made.union(made.limit(1)).withColumn("s", F.lit(None).cast("string")), "s", ["d"], characters)
+        assert [r["dense"] for r in dense.orderBy("d", "dense").collect()] == list(range(1, len(points) + 2))
