@@ -25,3 +25,21 @@ def strip_outer(text: Column) -> Column:
 def fold_width(text: Column) -> Column:
     """Map full-width ASCII and wide blanks to their plain forms."""
     return F.translate(text, _FULLWIDTH, _ASCII)
+
+
+# How credentials stand in error messages, and what is left of them; applied in this order.
+HIDDEN = "***REDACTED***"
+CREDENTIALS = [
+    (r"(?i)\bbearer\s+[^\s,;]+", f"Bearer {HIDDEN}"),
+    (r"(?i)\bsk-[a-z0-9_-]+", f"sk-{HIDDEN}"),
+    (r"(?i)\b(api[_-]?key|access[_-]?token|token|password|secret|authorization)\s*[:=]\s*[^\s,;]+", f"$1={HIDDEN}"),
+    (r"(?i)(https?://[^:/@\s]+:)[^@\s]+@", f"$1{HIDDEN}@"),
+]
+
+
+def hide_credentials(message: Column, limit: int | None = None) -> Column:
+    """An error message without the credentials in it; ``limit`` keeps its first characters only, as short logs do."""
+    shown = message if limit is None else F.substring(message, 1, limit)
+    for pattern, left in CREDENTIALS:
+        shown = F.regexp_replace(shown, pattern, left)
+    return shown

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspan.functions import text
 from tallyspan.functions import tokens as tk
 from tallyspan.functions.formula import compile_formula
 from tallyspan.operators import facts, instants, ledger, retrieval, selection, series, state
@@ -159,6 +160,9 @@ def queries() -> dict[str, Query]:
         "citations": lambda s, d: ledger.citations(t(s, d, "conversation_events"), "event_id", "content"),
         # text utilities
         "token_estimates": lambda s, d: t(s, d, "documents").where("text is not null").select("doc_id", tk.estimate_by_bytes(F.col("text")).alias("by_bytes")),
+        "hidden_credentials": lambda s, d: t(s, d, "conversation_events").where("content is not null").select(
+            "event_id", text.hide_credentials(F.concat(F.lit("Token: "), F.coalesce("run_id", F.lit("none")), F.lit("; "), "content")).alias("message")
+        ),
         "content_ids": lambda s, d: t(s, d, "documents").select("doc_id", F.substring(tk.content_id(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))), 1, 20).alias("content_id")),
         "canonical_urls": lambda s, d: _urls(s, d).select("pos", tk.canonical_url(F.col("url")).alias("url")),
         "first_per_url": lambda s, d: _urls(s, d).groupBy(tk.canonical_url(F.col("url")).alias("url")).agg(F.min("pos").alias("pos")),
@@ -185,6 +189,13 @@ def queries() -> dict[str, Query]:
     return q
 
 
+def _hidden(message: str) -> str:
+    for pattern, left in text.CREDENTIALS:
+        replacement = left.replace("$1", chr(92) + "1")
+        message = f"regexp_replace({message}, '{pattern}', '{replacement}', 'g')"
+    return message
+
+
 def oracle_sql() -> dict[str, str]:
     bm = _bm25_sql()
     return {
@@ -244,6 +255,7 @@ WHERE entity IS NOT NULL AND entity NOT IN (SELECT trim(regexp_extract(title, '^
         "formula_margin": "SELECT l_orderkey, l_linenumber, round((l_extendedprice - l_extendedprice * (1 - l_tax)) / l_extendedprice, 6) AS margin FROM lineitem",
         "citations": r"SELECT DISTINCT event_id, unnest(regexp_extract_all(content, '\[\^([^\]\s]+)\]', 1)) AS cited FROM conversation_events WHERE content IS NOT NULL",
         "token_estimates": "SELECT doc_id, CAST(greatest(1, (strlen(text) + 2) // 3) AS BIGINT) AS by_bytes FROM documents WHERE text IS NOT NULL",
+        "hidden_credentials": "SELECT event_id, " + _hidden("concat('Token: ', coalesce(run_id, 'none'), '; ', content)") + " AS message FROM conversation_events WHERE content IS NOT NULL",
         "content_ids": "SELECT doc_id, substr(sha256(concat(coalesce(title, ''), chr(0), coalesce(text, ''))), 1, 20) AS content_id FROM documents",
         "canonical_urls": "SELECT pos, concat('https://www.', replace(provider, '_', '-'), '.example.com/', replace(locator, ':', '/'), '?id=', source_id) AS url FROM sources",
         "first_per_url": "SELECT concat('https://www.', replace(provider, '_', '-'), '.example.com/', replace(locator, ':', '/'), '?id=', source_id) AS url, min(pos) AS pos FROM sources GROUP BY 1",
