@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyspan.functions.tokens import RUNS, count_term, count_tokens, tokens
 from tallyspan.operators.blocks import BLOCK, before, with_figures
+from tallyspan.session import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -79,10 +80,28 @@ def cosine(vectors: DataFrame, query: list[float], key: str = "vec_id", vector:
     )
 
 
-def fuse(first: DataFrame, second: DataFrame, key: str, depth: int) -> DataFrame:
-    """Reciprocal rank fusion of two scored lists, each cut to its best ``depth``."""
-    a = top(first, depth, key).select(key, F.col("rank").alias("first_rank"))
-    b = top(second, depth, key).select(key, F.col("rank").alias("second_rank"))
+def ranked(scored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """All rows with their rank by score, ties by key, as ``top`` counts them.
+
+    Rows are sorted in ranges of (score, key); a rank is the place inside a range plus the rows of the ranges before, of
+    which there is one figure per range. Ranges are drawn from a sample, so they are written once and read from there.
+    """
+    place = F.monotonically_increasing_id()  # the partition in the upper 31 bits, the place in it in the lower 33
+    order = [F.desc("score"), F.asc(key)]
+    held = cut(scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place))
+    held = held.withColumn("__range", F.shiftright("__at", 33))
+    sizes = held.groupBy("__range").agg(F.count("*").alias("__n"))
+    ahead = F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))  # a row per range
+    sizes = sizes.select("__range", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    rank = F.col("__ahead") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    return held.join(F.broadcast(sizes), "__range").withColumn("rank", rank).drop("__at", "__range", "__ahead")
+
+
+def fuse(first: DataFrame, second: DataFrame, key: str, least: float | None = None) -> DataFrame:
+    """Reciprocal rank fusion of all rows of two scored lists; with ``least``, rows of the second below it leave first."""
+    held = second if least is None else second.where(F.col("score") >= least)
+    a = ranked(first, key).select(key, F.col("rank").alias("first_rank"))
+    b = ranked(held, key).select(key, F.col("rank").alias("second_rank"))
     part = lambda r: F.coalesce(1.0 / (RRF_K + F.col(r)), F.lit(0.0))
     return a.join(b, key, "full").select(key, "first_rank", "second_rank", (part("first_rank") + part("second_rank")).alias("score"))
 

@@ -111,7 +111,7 @@ def queries() -> dict[str, Query]:
         "cosine_topk": lambda s, d: retrieval.top(retrieval.cosine(t(s, d, "embeddings"), _query_vector(s, d)), K, "vec_id").select("vec_id", _r("score").alias("score"), F.col("rank").cast("bigint").alias("rank")),
         "cosine_threshold": lambda s, d: retrieval.cosine(t(s, d, "embeddings"), _query_vector(s, d)).where("score >= 0.2").select("vec_id", _r("score").alias("score")),
         "rrf_hybrid": lambda s, d: retrieval.top(
-            retrieval.fuse(retrieval.bm25(t(s, d, "documents"), QUESTION), retrieval.cosine(t(s, d, "embeddings"), _query_vector(s, d)).withColumnRenamed("vec_id", "doc_id"), "doc_id", 100), K
+            retrieval.fuse(retrieval.bm25(t(s, d, "documents"), QUESTION), retrieval.cosine(t(s, d, "embeddings"), _query_vector(s, d)).withColumnRenamed("vec_id", "doc_id"), "doc_id"), K
         ).select("doc_id", _r("score", 8).alias("score"), F.col("rank").cast("bigint").alias("rank")),
         "diversified_topk": lambda s, d: retrieval.diversify(_scored(s, d), "source", K).select("doc_id", "source", F.col("position").cast("bigint").alias("position")),
         "retrieval_trace": lambda s, d: retrieval.bm25(t(s, d, "documents"), QUESTION).agg(F.count("*").alias("hits"), _r(F.max("score")).alias("best")).crossJoin(t(s, d, "documents").agg(F.count("text").alias("candidates"))),
