@@ -84,11 +84,12 @@ def ranked(scored: DataFrame, key: str = "doc_id") -> DataFrame:
     """All rows with their rank by score, ties by key, as ``top`` counts them.
 
     Rows are sorted in ranges of (score, key); a rank is the place inside a range plus the rows of the ranges before, of
-    which there is one figure per range. Ranges are drawn from a sample, so they are written once and read from there.
+    which there is one figure per range. Ranges are drawn from a sample, so rows are written once, before and after, and read
+    from there.
     """
     place = F.monotonically_increasing_id()  # the partition in the upper 31 bits, the place in it in the lower 33
     order = [F.desc("score"), F.asc(key)]
-    held = cut(scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place))
+    held = cut(cut(scored).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place))
     held = held.withColumn("__range", F.shiftright("__at", 33))
     sizes = held.groupBy("__range").agg(F.count("*").alias("__n"))
     ahead = F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))  # a row per range

@@ -141,7 +141,7 @@ def queries() -> dict[str, Query]:
         # selection
         "interleaved": lambda s, d: selection.interleave(_scored(s, d), "source", [F.desc("score"), "doc_id"], 40).select("doc_id", "source", F.col("place").cast("bigint").alias("place")),
         "greedy_budget": lambda s, d: selection.greedy_fill(
-            retrieval.top(retrieval.bm25(t(s, d, "documents"), QUESTION), 60).join(t(s, d, "documents").select("doc_id", "n_chars"), "doc_id"), 20000, "n_chars", "rank"
+            retrieval.ranked(retrieval.bm25(t(s, d, "documents"), QUESTION)).join(t(s, d, "documents").select("doc_id", "n_chars"), "doc_id"), 20000, "n_chars", "rank"
         ).select("doc_id", F.col("rank").cast("bigint").alias("rank"), "n_chars"),
         # ledger and library
         "coverage": lambda s, d: ledger.coverage(

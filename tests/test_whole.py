@@ -1,6 +1,9 @@
 """Operators take all rows: results over more rows than any shortlist, against brute force."""
 
-from tallyspan.operators import retrieval
+import random
+
+from tallyspan.operators import retrieval, selection
+from tallyspan.plans import catalog
 
 
 def test_fusion_takes_ranks_beyond_a_hundred(spark):
@@ -22,3 +25,21 @@ def test_fusion_takes_ranks_beyond_a_hundred(spark):
     ties = spark.range(300).selectExpr("id AS doc_id", "1.0D AS score").repartition(7)
     assert {(r["doc_id"], r["rank"]) for r in retrieval.ranked(ties).collect()} == {(i, i + 1) for i in range(300)}
     assert retrieval.fuse(frame(one).limit(0), frame(two).limit(0), "doc_id").count() == 0
+
+
+def test_greedy_fill_goes_through_all_rows(spark):
+    draw = random.Random(2)
+    for costs, budget in (([draw.choice([1, 3, 40, 90, 300, 2000]) for _ in range(600)], 1000), ([9] * 50 + [0, 2, None, 1], 19), ([500], 3), ([], 5)):
+        want, used = set(), 0
+        for i, c in enumerate(costs):
+            if c is not None and used + c <= budget:
+                want, used = want | {i}, used + c
+        items = spark.createDataFrame(list(enumerate(costs)), "place bigint, cost int").repartition(6)
+        assert {r["place"] for r in selection.greedy_fill(items, budget, "cost", "place").collect()} == want
+
+
+def test_greedy_budget_sees_documents_beyond_rank_sixty(spark, tmp_path):
+    rows = [(i, "covered bonds", 19_999 if i == 1 else 500 if i < 90 else 1) for i in range(1, 101)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["greedy_budget"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["rank"]) for r in got} == {(1, 1), (90, 90)}
