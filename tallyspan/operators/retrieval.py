@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ from tallyspan.operators.blocks import BLOCK, before, with_figures
 from tallyspan.session import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Vectors in a block; scores are rounded to these digits before they are ranked, so that equal vectors tie.
+VECTORS, DIGITS = 128, 12
 
 
 def query_terms(query: str) -> Counter[str]:
@@ -80,6 +85,69 @@ def cosine(vectors: DataFrame, query: list[float], key: str = "vec_id", vector:
     )
 
 
+def top_each(scored: DataFrame, k: int, query: str, key: str) -> DataFrame:
+    """The best k of every query with their rank; Spark cuts to k inside tasks before it shuffles by query."""
+    rank = F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), key))
+    return scored.withColumn("score", F.round("score", DIGITS)).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def bm25_each(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """query_id, ``key``, score and rank of the best k documents of every query; ``queries`` has query_id and ``text``."""
+    held = documents.where(F.col(text).isNotNull()).select(key, text)
+    lengths = held.select(key, count_tokens(F.col(text)).alias("__n"))
+    figures = lengths.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__avg"))
+    terms = postings(held, key, text)
+    df = terms.groupBy("term").agg(F.count("*").alias("__d"))
+    norm = K1 * (1 - B + B * F.greatest(F.col("__n"), F.lit(1)) / F.greatest(F.col("__avg"), F.lit(1e-9)))
+    idf = F.log(1 + (F.col("__docs") - F.col("__d") + 0.5) / (F.col("__d") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    weighed = terms.join(df, "term").join(lengths, key).crossJoin(F.broadcast(figures)).select("term", key, weight.alias("__w"))
+    asked = postings(queries, "query_id", text).withColumnRenamed("tf", "__qf")
+    scored = asked.join(weighed, "term").groupBy("query_id", key).agg(F.sum(F.col("__qf") * F.col("__w")).alias("score"))
+    return top_each(scored.where("score > 0"), k, "query_id", key)
+
+
+def cosine_each(vectors: DataFrame, queries: DataFrame, k: int | None, least: float = -1.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, ``key``, score and rank of the best k vectors (all for None) of every query with a cosine of ``least``.
+
+    ``queries`` has query_id and ``vector``. Blocks of rows meet blocks of queries as matrices, and k per query are kept
+    of each meeting. Vectors of other length than the query or of zero norm drop out.
+    """
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for dim, part in batch.groupby(batch["v"].map(len)):
+                    for i in range(0, len(part) if dim else 0, VECTORS):
+                        cut_out = part.iloc[i : i + VECTORS]
+                        m = np.stack(cut_out["v"].to_numpy()).astype(np.float64)
+                        yield pd.DataFrame({f"{name}_dim": [dim], f"{name}_ids": [cut_out["id"].to_list()], f"{name}_m": [m.tobytes()]})
+
+        slim = df.select(F.col("query_id" if name == "q" else key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        # A null among the numbers makes the cosine null.
+        slim = slim.where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+        return slim.mapInPandas(pack, f"{name}_dim int, {name}_ids array<bigint>, {name}_m binary")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if r.q_dim != r.r_dim:
+                    continue
+                q, m = (np.frombuffer(x, dtype=np.float64).reshape(-1, r.q_dim) for x in (r.q_m, r.r_m))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    made = (q @ m.T) / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((m * m).sum(1))[None, :]
+                made, ids = np.round(made, DIGITS), np.asarray(r.r_ids)
+                for query, line in zip(r.q_ids, made, strict=True):
+                    kept = np.flatnonzero(line >= least)
+                    kept = kept[np.lexsort((ids[kept], -line[kept]))][:k]
+                    yield pd.DataFrame({"query_id": query, key: ids[kept], "score": line[kept]})
+
+    # The blocks of queries are few beside those of rows: one partition of queries for a hundred of rows.
+    asked = cut(packed(queries, "q").repartition(max(1, queries.rdd.getNumPartitions() // 100)))
+    scored = packed(vectors, "r").crossJoin(asked).mapInPandas(score, f"query_id bigint, {key} bigint, score double")
+    return scored if k is None else top_each(scored, k, "query_id", key)
+
+
 def ranked(scored: DataFrame, key: str = "doc_id") -> DataFrame:
     """All rows with their rank by score, ties by key, as ``top`` counts them.
 

@@ -42,6 +42,23 @@ bm AS (SELECT doc_id, sum(qf * ln(1 + (nn - d + 0.5) / (d + 0.5)) * f * 2.2 / (f
 _COS = """qv AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
 cos AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS score FROM embeddings, qv)"""
 
+_COS_EACH = """cos AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) AS score
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)"""
+
+
+def _bm25_each_sql(where: str = "TRUE") -> str:
+    return f"""WITH {_TOK},
+cand AS (SELECT doc_id FROM documents WHERE text IS NOT NULL AND {where}),
+len AS (SELECT c.doc_id, count(t.term) AS n FROM cand c LEFT JOIN tok t USING (doc_id) GROUP BY c.doc_id),
+tf AS (SELECT doc_id, term, count(*) AS f FROM tok JOIN cand USING (doc_id) GROUP BY ALL),
+q AS (SELECT doc_id AS query_id, term, count(*) AS qf FROM tok WHERE doc_id % 100 = 0 GROUP BY ALL),
+df AS (SELECT term, count(*) AS d FROM tf GROUP BY term),
+st AS (SELECT count(*) AS nn, avg(n) AS av FROM len),
+bm AS (SELECT query_id, doc_id, round(sum(qf * ln(1 + (nn - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * greatest(n, 1) / av))), 12) AS score
+  FROM tf JOIN q USING (term) JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN st GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= {K}"""
+
+
 _MONTHS = """m AS (SELECT o_orderpriority AS series, date_trunc('month', o_orderdate) AS month, avg(o_totalprice) AS value FROM orders GROUP BY ALL)"""
 _FACTS = """f AS (SELECT n_name AS entity, CAST(year(o_orderdate) AS VARCHAR) AS period, sum(l_extendedprice) AS revenue,
   sum(l_extendedprice * (1 - l_discount)) AS gross_profit, sum(l_extendedprice * (1 - l_discount) * (1 - l_tax)) AS net_income
@@ -85,6 +102,21 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(docs, QUESTION).join(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
 
 
+def _every_hundredth(df: DataFrame, key: str, held: str) -> DataFrame:
+    """The rows whose id is divisible by 100, as queries."""
+    return df.where((F.col(key) % 100 == 0) & F.col(held).isNotNull()).select(F.col(key).alias("query_id"), held)
+
+
+def _bm25_each(docs: DataFrame, held: str = "true") -> DataFrame:
+    best = retrieval.bm25_each(docs.where(held), _every_hundredth(docs, "doc_id", "text"), K)
+    return best.select("query_id", "doc_id", _r("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def _cosine_each(vectors: DataFrame, k: int | None, least: float = -1.0) -> DataFrame:
+    best = retrieval.cosine_each(vectors, _every_hundredth(vectors, "vec_id", "embedding"), k, least)
+    return best.select("query_id", "vec_id", _r("score").alias("score"), *([F.col("rank").cast("bigint").alias("rank")] if k else []))
+
+
 def _urls(s: SparkSession, d: str) -> DataFrame:
     """Links derived from the sources: provider and locator with the tracking noise that search results carry."""
     src = table(s, d, "sources")
@@ -110,6 +142,10 @@ def queries() -> dict[str, Query]:
         "token_counts": lambda s, d: t(s, d, "documents").select("doc_id", F.coalesce(tk.count_tokens(F.col("text")), F.lit(0)).cast("bigint").alias("n_tokens")),
         "cosine_topk": lambda s, d: retrieval.top(retrieval.cosine(t(s, d, "embeddings"), _query_vector(s, d)), K, "vec_id").select("vec_id", _r("score").alias("score"), F.col("rank").cast("bigint").alias("rank")),
         "cosine_threshold": lambda s, d: retrieval.cosine(t(s, d, "embeddings"), _query_vector(s, d)).where("score >= 0.2").select("vec_id", _r("score").alias("score")),
+        "bm25_topk_each": lambda s, d: _bm25_each(t(s, d, "documents")),
+        "bm25_filtered_each": lambda s, d: _bm25_each(t(s, d, "documents"), "source = 'filing'"),
+        "cosine_topk_each": lambda s, d: _cosine_each(t(s, d, "embeddings"), K),
+        "cosine_threshold_each": lambda s, d: _cosine_each(t(s, d, "embeddings"), None, 0.2),
         "rrf_hybrid": lambda s, d: retrieval.top(
             retrieval.fuse(retrieval.bm25(t(s, d, "documents"), QUESTION), retrieval.cosine(t(s, d, "embeddings"), _query_vector(s, d)).withColumnRenamed("vec_id", "doc_id"), "doc_id"), K
         ).select("doc_id", _r("score", 8).alias("score"), F.col("rank").cast("bigint").alias("rank")),
@@ -205,6 +241,10 @@ def oracle_sql() -> dict[str, str]:
         "token_counts": f"WITH {_TOK} SELECT d.doc_id, count(term) AS n_tokens FROM documents d LEFT JOIN tok USING (doc_id) GROUP BY d.doc_id",
         "cosine_topk": f"WITH {_COS} SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM cos ORDER BY score DESC, vec_id LIMIT {K}",
         "cosine_threshold": f"WITH {_COS} SELECT vec_id, round(score, 6) AS score FROM cos WHERE score >= 0.2",
+        "bm25_topk_each": _bm25_each_sql(),
+        "bm25_filtered_each": _bm25_each_sql("source = 'filing'"),
+        "cosine_topk_each": f"WITH {_COS_EACH} SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cos QUALIFY rank <= {K}",
+        "cosine_threshold_each": f"WITH {_COS_EACH} SELECT query_id, vec_id, round(score, 6) AS score FROM cos WHERE score >= 0.2",
         "rrf_hybrid": f"""WITH {bm}, {_COS},
 a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 100),
 b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM cos QUALIFY r <= 100),

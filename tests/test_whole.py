@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from tallyspan.operators import retrieval, selection
 from tallyspan.plans import catalog
 
@@ -43,3 +46,33 @@ def test_greedy_budget_sees_documents_beyond_rank_sixty(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.queries()["greedy_budget"](spark, str(tmp_path)).collect()
     assert {(r["doc_id"], r["rank"]) for r in got} == {(1, 1), (90, 90)}
+
+
+def test_every_query_row_finds_its_neighbours(spark, tmp_path):
+    draw = np.random.default_rng(4)
+    made = draw.normal(size=(450, 8)).astype("float32")
+    made[7], made[11] = made[300], 0.0  # a tie, and a vector without direction
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(made)] + [(600, None), (601, [1.0, 2.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = made.astype(float) / np.where((n := np.linalg.norm(made.astype(float), axis=1)) > 0, n, np.nan)[:, None]
+    got = catalog.queries()["cosine_topk_each"](spark, str(tmp_path)).collect()
+    want = {}
+    for q in range(0, 450, 100):
+        line = np.round(unit @ unit[q], 12)
+        for rank, i in enumerate(sorted(np.flatnonzero(~np.isnan(line)), key=lambda i: (-line[i], i))[:20], 1):
+            want[q, rank] = (int(i), line[i])
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got} == {k: v[0] for k, v in want.items()}
+    assert [r["score"] for r in got] == pytest.approx([want[r["query_id"], r["rank"]][1] for r in got], abs=1e-6)
+
+    words = ["bank", "bond", "debt", "rate", "loan", "cash"]
+    docs = [(i, " ".join(words[int(x)] for x in draw.integers(0, 6, 9)), "filing" if i % 3 else "news") for i in range(1, 250)] + [(300, None, "news")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, only in (("bm25_topk_each", "true"), ("bm25_filtered_each", "source = 'filing'")):
+        got = catalog.queries()[name](spark, str(tmp_path)).collect()
+        assert {r["query_id"] for r in got} == {100, 200}
+        for q in (100, 200):
+            scored = {r["doc_id"]: round(r["score"], 6) for r in retrieval.bm25(held.where(only), docs[q - 1][1]).collect()}
+            mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+            assert [r["score"] for r in mine] == pytest.approx(sorted(scored.values(), reverse=True)[:20], abs=2e-6)
+            assert all(scored[r["doc_id"]] == pytest.approx(r["score"], abs=2e-6) for r in mine)
