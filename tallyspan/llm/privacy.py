@@ -262,6 +262,17 @@ _HAN_SYLLABLES = "安柏辰丹恩凡歌涵嘉可兰铭宁沛琪然诗棠维希
 _FEMALE_END = ("a", "e", "ie", "y")
 
 
+_STREET_WORD = regex.compile(r"(?<!\p{L})[A-ZÀ-Þ][\p{L}'’]++")
+# Words of an address that are no part of the street's name.
+_STREET_KIND = regex.compile(rf"{_WAY}|Str|Straße|Strasse|Weg|Platz|Allee|Gasse|Am|An|Auf|Zum|Zur|Unter")
+
+
+def _code(secret: str, length: int = 64) -> Column:
+    """A placeholder for pii_type and entity; at full length no two share one."""
+    digest = F.substring(F.sha2(F.concat_ws("\0", F.lit(secret), "pii_type", "entity"), 256), 1, length)
+    return F.concat(F.lit("["), F.upper("pii_type"), F.lit("_"), digest, F.lit("]"))
+
+
 def _stream(secret: bytes, key: str, attempt: int) -> Iterator[int]:
     block = 0
     while True:
@@ -305,8 +316,8 @@ def surrogate(kind: str, text: str, key: str, secret: bytes, attempt: int = 0) -
     if kind == "street_address":
         if regex.search(r"\p{Han}", text):
             return "".join(_HAN_SYLLABLES[next(draw) % len(_HAN_SYLLABLES)] for _ in range(2)) + f"路{next(draw) % 200 + 1}号"
-        return regex.sub(r"\d+", lambda m: "".join(str(next(draw) % 9 + 1) for _ in m[0]), regex.sub(
-            rf"(?<![\p{{L}}])[A-ZÀ-Þ][\p{{L}}'’]+(?! ?\.)(?! *\b$)", lambda m: word(m[0]), text, count=1))
+        named = _STREET_WORD.sub(lambda m: m[0] if _STREET_KIND.fullmatch(m[0]) else word(m[0]), text)
+        return regex.sub(r"\d+", lambda m: "".join(str(next(draw) % 9 + 1) for _ in m[0]), named)
     keep = 0
     if kind == "phone":
         m = regex.match(r"(?:\+|00)\d{1,2}|\(?0", text)
@@ -320,14 +331,14 @@ def stand_ins(found_entities: DataFrame, secret: str, style: str = "placeholder"
     """pii_type, entity (its key) and stand_in, with no stand-in shared by two entities of a type.
 
     ``found_entities`` has pii_type and pii_text. Colliding stand-ins are drawn again with more rounds or letters until
-    none is left; each round joins by the stand-in, so nothing is gathered in one place.
+    none is left; each round joins by the stand-in, so nothing is gathered in one place. Entities that twelve rounds did not
+    settle, as short words have few surrogates, get a placeholder with the whole digest.
     """
     distinct = (
         found_entities.select("pii_type", "pii_text", entity_key(F.col("pii_type"), F.col("pii_text")).alias("entity"))
         .groupBy("pii_type", "entity")
         .agg(F.min("pii_text").alias("sample"))
     )
-    label = F.upper("pii_type")
 
     @F.pandas_udf("string")
     def made(kind: pd.Series, text: pd.Series, key: pd.Series, attempt: pd.Series) -> pd.Series:
@@ -338,8 +349,7 @@ def stand_ins(found_entities: DataFrame, secret: str, style: str = "placeholder"
     def propose(df: DataFrame, attempt: int) -> DataFrame:
         if style == "surrogate":
             return df.withColumn("stand_in", made("pii_type", "sample", "entity", F.lit(attempt)))
-        code = F.substring(F.sha2(F.concat_ws("\0", F.lit(secret), "pii_type", "entity"), 256), 1, 8 + 4 * attempt)
-        return df.withColumn("stand_in", F.concat(F.lit("["), label, F.lit("_"), code, F.lit("]")))
+        return df.withColumn("stand_in", _code(secret, 8 + 4 * attempt))
 
     settled, open_, attempt = None, cut(propose(distinct, 0)), 0
     while attempt < 12:
@@ -348,7 +358,7 @@ def stand_ins(found_entities: DataFrame, secret: str, style: str = "placeholder"
             taken = settled.select("pii_type", "stand_in").withColumn("first", F.lit(None).cast("string"))
             twice = twice.select("pii_type", "stand_in", "first").unionByName(
                 open_.select("pii_type", "stand_in").join(taken, ["pii_type", "stand_in"], "left_semi").withColumn("first", F.lit(None).cast("string"))
-            ).groupBy("pii_type", "stand_in").agg(F.min("first").alias("first"))
+            ).groupBy("pii_type", "stand_in").agg(F.when(F.count("*") == F.count("first"), F.min("first")).alias("first"))  # none may keep a taken one
         else:
             twice = twice.select("pii_type", "stand_in", "first")
         again = open_.join(twice, ["pii_type", "stand_in"]).where(~F.col("entity").eqNullSafe(F.col("first")))
@@ -359,6 +369,8 @@ def stand_ins(found_entities: DataFrame, secret: str, style: str = "placeholder"
             break
         attempt += 1
         settled, open_ = cut(settled), cut(propose(again, attempt))
+    else:
+        settled = settled.unionByName(open_.withColumn("stand_in", _code(secret)))
     return settled.select("pii_type", "entity", "stand_in")
 
 
@@ -378,7 +390,8 @@ def redact(rows: DataFrame, families: frozenset[str], secret: str, style: str =
     )
     chosen = stand_ins(mentions.select("pii_type", "pii_text"), secret, style)
     spans = (
-        mentions.join(chosen, ["pii_type", "entity"])
+        mentions.join(chosen, ["pii_type", "entity"], "left")  # a mention is never left in clear
+        .withColumn("stand_in", F.coalesce("stand_in", _code(secret)))
         .groupBy("origin", "record_id", "h")
         .agg(F.array_sort(F.collect_list(F.struct("start", "stop", "stand_in"))).alias("spans"))
     )
