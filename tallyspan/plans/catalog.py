@@ -220,7 +220,9 @@ def queries() -> dict[str, Query]:
         "rollup_revenue": lambda s, d: t(s, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")),
         "pricing_summary": lambda s, d: t(s, d, "lineitem").where("l_shipdate <= '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), _r(F.avg("l_discount")).alias("avg_disc"), F.count("*").alias("n")),
         "stream_deduplicated": lambda s, d: jobs.run_to_files(jobs.deduplicated(jobs.event_stream(s, d, "events", "ts").select("event_id", "ts", "user_id"), "event_id", "ts")).select("event_id", "user_id"),
-        "stream_tumbling": lambda s, d: jobs.run_to_files(jobs.tumbling(jobs.event_stream(s, d, "events", "ts"), "ts", "1 day", "1 hour", "event_type", "value")),
+        "stream_tumbling": lambda s, d: jobs.run_to_latest(
+            jobs.tumbling(jobs.event_stream(s, d, "events", "ts"), "ts", "1 day", "1 hour", "event_type", "value"), ["window_start", "event_type"]
+        ).withColumn("total", _r("total")),
     }
     return q
 
@@ -313,5 +315,6 @@ count(*) FILTER (k = 'toolevent') AS tool_events FROM e GROUP BY 1""",
         "tumbling_counts": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
         "rollup_revenue": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
         "pricing_summary": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
+        "stream_tumbling": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
         "stream_deduplicated": "SELECT event_id, user_id FROM events",
     }

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _folder(spark: SparkSession) -> str:
@@ -39,13 +40,27 @@ def run_to_files(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def run_to_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run an update stream to its end and read the last version of every key, windows that are still open included."""
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch_number={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    made = spark.read.schema(T.StructType([*stream.schema, T.StructField("batch_number", T.LongType())])).parquet(f"{folder}/out")
+    values = [c for c in stream.columns if c not in keys]
+    return made.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_number").alias("last")).select(*keys, "last.*")
+
+
 def deduplicated(stream: DataFrame, key: str, at: str, delay: str = "1 day") -> DataFrame:
     """Idempotent append: later deliveries of an id within the watermark are dropped."""
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
 def tumbling(stream: DataFrame, at: str, width: str, delay: str, group: str, value: str) -> DataFrame:
-    """Count and sum of every closed window."""
+    """Count and sum of every window: closed ones in append mode, all as they change in update mode."""
     return (
         stream.withWatermark(at, delay)
         .groupBy(F.window(at, width).alias("w"), group)
