@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tallyspan.llm import privacy
+from tallyspan.llm import privacy, scans
 from tallyspan.operators import retrieval, selection
 from tallyspan.plans import catalog
 
@@ -92,3 +92,13 @@ def test_every_word_of_a_street_is_replaced():
     for text, words, kept in (("114a Mill Brook Avenue", ("Mill", "Brook"), "Avenue"), ("52 bis, chemin des Saulaies", ("Saulaies",), "bis, chemin des"), ("Am Birkenhof 3", ("Birkenhof",), "Am"), ("Lindenfelder Str. 12B", ("Lindenfelder",), "Str.")):
         made = privacy.surrogate("street_address", text, text.lower(), b"k")
         assert kept in made and not any(w in made for w in words), made
+
+
+def test_page_numbers_with_every_digit_misread():
+    body = [f"the auditor drew attention to supplier insurance {i} times." for i in range(8)]
+    for line in ("– lO –", "- lO -", "[lO]", "lO/ll", "Page lO of ll"):
+        _, places, shapes = scans.layout("\n".join([*body, line]))
+        assert (places[-1], shapes[-1]) == ("B0", "num"), line
+        assert scans.layout("\n".join([*body[:4], line, *body[4:]]))[2][4] != "num", line
+    for line in ("lO", "Oil", "SOLO", "- and -", "[lost]", "p and l"):
+        assert scans.layout("\n".join([*body, line]))[2][-1] != "num", line
