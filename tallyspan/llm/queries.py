@@ -20,8 +20,8 @@ def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
 
 def _redacted(spark: SparkSession, d: str, style: str) -> DataFrame:
     rows = privacy.contents(table(spark, d, "conversation_events"), table(spark, d, "personal_memories"))
-    families = privacy.learned_families(rows, table(spark, d, "name_parts"))
-    return privacy.redact(rows, families, DEMONSTRATION_KEY, style)
+    names = table(spark, d, "name_parts")
+    return privacy.redact(rows, privacy.learned_families(rows, names), DEMONSTRATION_KEY, style, privacy.known_parts(names))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from tallyspan.llm import privacy as pv
@@ -80,3 +82,86 @@ def test_surrogates_keep_format_and_script_and_stay_distinct(spark):
     entities = spark.createDataFrame([("id_number", f"{i:03d}") for i in range(400)], "pii_type string, pii_text string")
     chosen = pv.stand_ins(entities, "key", "surrogate").collect()
     assert len(chosen) == 400 and len({r["stand_in"] for r in chosen}) == 400
+
+
+OTHER_FRAMES = {
+    "The customer Jane Doe called.": {("person_name", "Jane Doe")},
+    "Mein Name ist Anna Schmidt.": {("person_name", "Anna Schmidt")},
+    "Je m'appelle Marie Dupont.": {("person_name", "Marie Dupont")},
+    "Me llamo Carlos Ruiz y quiero cambiar mi dirección.": {("person_name", "Carlos Ruiz")},
+    "Contact: Jane Doe, jane@x.com": {("person_name", "Jane Doe"), ("email", "jane@x.com")},
+    "Pay it to IBAN DE89 3704 0044 0532 0130 00 please.": {("id_number", "DE89 3704 0044 0532 0130 00")},
+    "Pay it to DE89 3704 0044 0532 0130 01 or ISIN GB00B03MLX29.": set(),
+    "Please call me on 4155550132.": {("phone", "4155550132")},
+    "Order 4155550132 was the customer Harrow Freight's largest.": set(),
+    "Call me on (01234) 567 890 please.": {("phone", "(01234) 567 890")},
+    "The file is done.\n\nBest\nAnna": {("person_name", "Anna")},
+    "Please note the NI no. AB 12 34 56 C for the form": {("id_number", "AB 12 34 56 C")},
+    "Yesterday Orla Farrowgate asked about the fee.": {("person_name", "Orla Farrowgate")},
+}
+PARTS = pv.Parts(frozenset({"Orla"}), FAMILIES)
+
+
+def test_other_frames_pass_the_hints_and_are_found(spark):
+    for text, want in OTHER_FRAMES.items():
+        assert {(k, t) for k, _, _, t in pv.detect(text, FAMILIES, PARTS)} == want, text
+    texts = {**TEXTS, **OTHER_FRAMES}
+    held = [(t, t.upper() if "@" in t else t) for t, w in texts.items() if w]
+    df = spark.createDataFrame(held, "t string, u string")
+    assert df.where(~pv._might_hold(F.col("t"), PARTS)).count() == 0
+    assert df.where(F.col("u").contains("@") & ~pv._might_hold(F.col("u"), PARTS)).count() == 0
+    rows = pv.found(*frames(spark, list(OTHER_FRAMES)))
+    got = {(r["record_id"], r["pii_type"], r["pii_text"]) for r in rows.where("origin = 'conversation_events'").collect()}
+    assert got == {(f"e{i}", *x) for i, w in enumerate(OTHER_FRAMES.values()) for x in w}
+
+
+def test_hints_cover_random_texts_of_every_detector(spark):
+    import random
+
+    draw = random.Random(5)
+    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    made = []
+    for _ in range(400):
+        groups = [digits(draw.randint(2, 5)) for _ in range(draw.randint(2, 5))]
+        made += [
+            f"+{digits(draw.randint(1, 3))}" + "".join(draw.choice(" .-") + draw.choice(["{}", "({})"]).format(g) for g in groups),
+            f"(0{digits(draw.randint(1, 4))}) {digits(draw.randint(3, 4))} {digits(draw.randint(3, 4))}", f"0{digits(draw.randint(2, 4))} {digits(6)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}",
+            f"{digits(3)}{draw.choice('.-')}{digits(3)}{draw.choice('.-')}{digits(4)}", f"{draw.choice(['SSN', 'passport no.', 'Steuer-ID', 'ID card', 'NI number'])}: {draw.choice([digits(3) + '-' + digits(2) + '-' + digits(4), 'AB' + digits(6), digits(11)])}",
+            f"{digits(2)} {draw.choice(['rue', 'quai', 'impasse'])} {draw.choice(['de la ', 'du ', 'd’', ''])}{draw.choice(['Gare', 'Étoile'])}", f"{digits(3)} {draw.choice(['Mill Brook', 'High'])} {draw.choice(['Rd', 'Mews', 'Terrace', 'Blvd'])}",
+            f"{draw.choice(['Linden', 'Alt'])}{draw.choice(['weg', 'ufer', 'gasse', 'straße'])} {digits(2)}", f"{draw.choice(['Kind regards', 'thanks', 'BEST', 'Grüße', 'saludos'])}{draw.choice([',', ''])} \n{draw.choice(['Anna', 'Søren'])}",
+            f"a.b{draw.choice(['@', ' [at] ', '(AT)', ' @ ', '＠'])}mail{draw.choice(['.', ' [dot] ', '(dot)'])}org", "write to a.b at mail dot org",
+        ]
+    texts = [f"{draw.choice(['', 'See ', 'Ref; '])}{t}{draw.choice(['', ' now', '.'])}" for t in made]
+    hit = [t for t in texts if pv.detect(t, FAMILIES, PARTS)]
+    assert len(hit) > 2000
+    assert [r["t"] for r in spark.createDataFrame([(t,) for t in hit], "t string").where(~F.col("t").rlike(pv.HINTS)).collect()] == []
+
+
+def test_any_number_of_families_is_learned_whatever_the_case(spark):
+    names = [f"Zq{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}er" for i in range(1200)]
+    texts = [f"MR Xavo {n} and CC Xavo {n}; " for n in names] + [f"All done.\n\nRegards,\nXavo {names[-1]}", "Fine.\n\nRegards,\nXavo Unheard"]
+    got = pv.found(*frames(spark, texts)).where("record_id in ('e1200', 'e1201')").collect()
+    assert {(r["record_id"], r["pii_text"]) for r in got} == {("e1200", f"Xavo {names[-1]}"), ("e1201", "Xavo")}
+
+
+def test_surrogate_people_keep_gender_script_and_parts(spark):
+    for name in ("Steve", "George", "Harry", "Tobiah"):
+        assert pv.person(f"{name} Doe", name.lower(), b"k")[0] in pv.MALE_GIVEN
+    for name in ("Anna", "Jane", "Mirela", "Élodie"):
+        assert pv.person(f"{name} Doe", name.lower(), b"k")[0] in pv.FEMALE_GIVEN
+    assert pv.written_like("DOE, Jane M.", "Emma", "Hartwell") == "HARTWELL, Emma E."
+    schema = "tenant_id string, user_id string, thread_id string, event_id string, content string"
+    texts = [
+        ("t", "u", "a", "e1", "My name is Anna Schmidt, write to anna.schmidt@mail.example.com."),
+        ("t", "u", "a", "e2", "All done.\n\nRegards,\nAnna"),
+        ("t", "u", "b", "e3", "All done.\n\nRegards,\nAnna"),
+        ("t", "u", "b", "e4", "cc SCHMIDT, Anna; my name is Anna Holt."),
+    ]
+    events = spark.createDataFrame(texts, schema)
+    rows = pv.contents(events, spark.createDataFrame([], "memory_id string, content string"))
+    got = {r["record_id"]: r["content"] for r in pv.redact(rows, frozenset(), "key", "surrogate").collect()}
+    given, family = re.search(r"My name is (\w+) (\w+), write", got["e1"]).groups()
+    assert given in pv.FEMALE_GIVEN and f"write to {given.lower()}.{family.lower()}." in got["e1"] and "@example.invalid." in got["e1"]
+    assert got["e2"].endswith(f"\n{given}") and got["e4"].startswith(f"cc {family.upper()}, {given};")
+    assert not got["e3"].endswith(f"\n{given}") or "Anna" not in got["e3"]  # two people called Anna: one of her own
+    assert "Anna" not in "".join(got.values()) and "chmidt" not in "".join(got.values()).lower()
