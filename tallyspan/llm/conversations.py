@@ -9,6 +9,8 @@ a run that holds a third of all rows spreads over all tasks; the previous messag
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,33 +52,33 @@ def resolve_pointers(nodes: DataFrame, keys: list[str], parent: str, max_depth:
     A node below an orphan is an orphan; the depth of nodes that aren't 'ok' has no meaning.
     """
     last = keys[-1]
-    state = nodes.select(
-        *keys,
-        F.coalesce(parent, last).alias("root"),
-        F.when(F.col(parent).isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
-        F.when(F.col(parent).isNull(), "ok").otherwise("open").alias("state"),
-    )
-    state = cut(state)
+    start = nodes.select(*keys, F.coalesce(parent, last).alias("root"), F.col(parent).isNull().alias("settled"))
+    depth = F.when(F.col("settled"), 0).otherwise(1).cast("bigint")
+    state = cut(start.select(*keys, "root", depth.alias("depth"), F.when(F.col("settled"), "ok").otherwise("open").alias("state")))
+    # Settled rows are written once and stay where they are; a round writes the rows that were open before it.
+    settled, open_ = [state.where("state <> 'open'")], state.where("state = 'open'")
     limit = max(1, max_depth or state.count()).bit_length() + 1
     rounds = 0
-    while rounds <= limit and not state.where("state = 'open'").isEmpty():
-        target = state.select(
+    while rounds <= limit and not open_.isEmpty():
+        target = reduce(DataFrame.unionByName, [*settled, open_]).select(
             *[F.col(k).alias(f"__{k}") for k in keys],
             F.col("root").alias("__root"),
             F.col("depth").alias("__depth"),
             F.col("state").alias("__state"),
         )
-        moving = state.where("state = 'open'")
-        on = [moving[k] == target[f"__{k}"] for k in keys[:-1]] + [moving["root"] == target[f"__{last}"]]
-        moved = moving.join(target, on, "left").select(
-            *keys,
-            F.coalesce("__root", "root").alias("root"),
-            (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
-            F.coalesce("__state", F.lit("orphan")).alias("state"),
+        on = [open_[k] == target[f"__{k}"] for k in keys[:-1]] + [open_["root"] == target[f"__{last}"]]
+        moved = cut(
+            open_.join(target, on, "left").select(
+                *keys,
+                F.coalesce("__root", "root").alias("root"),
+                (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
+                F.coalesce("__state", F.lit("orphan")).alias("state"),
+            )
         )
-        state = cut(moved.unionByName(state.where("state <> 'open'")))
+        settled.append(moved.where("state <> 'open'"))
+        open_ = moved.where("state = 'open'")
         rounds += 1
-    return state.withColumn("state", F.when(F.col("state") == "open", "cycle").otherwise(F.col("state")))
+    return reduce(DataFrame.unionByName, [*settled, open_.withColumn("state", F.lit("cycle"))])
 
 
 def message_events(events: DataFrame) -> DataFrame:
@@ -87,14 +89,13 @@ def message_events(events: DataFrame) -> DataFrame:
     """
     rows = events.select(
         run_key(F.col("run_id")).alias("run_id"),
-        F.floor(F.col("sequence") / BLOCK).alias("block"),
         "sequence",
         "event_id",
         F.coalesce(kind_key(F.col("event_kind")), F.lit("")).alias("kind"),
         has_visible(F.col("content")).alias("visible"),
         F.when(F.col("content").isNotNull(), F.xxhash64("content", F.length("content"))).alias("hash"),
     ).where(F.col("run_id").isNotNull() & F.col("sequence").isNotNull())
-    once = rows.groupBy("run_id", "block", "event_id").agg(
+    once = rows.groupBy("run_id", "event_id").agg(  # copies of an event are few, so no key is hot
         F.min("sequence").alias("sequence"),
         F.min("kind").alias("kind"),
         F.bool_and("visible").alias("visible"),
@@ -103,7 +104,7 @@ def message_events(events: DataFrame) -> DataFrame:
             | (F.coalesce(F.min("hash") != F.max("hash"), F.lit(False)))
             | ((F.count("hash") > 0) & (F.count("hash") < F.count("*")))
         ).alias("differs"),
-    )
+    ).withColumn("block", F.floor(F.col("sequence") / BLOCK))
     place = W.partitionBy("run_id", "block").orderBy("sequence", "event_id")
     before, after = F.lag("sequence").over(place), F.lead("sequence").over(place)
     return once.select(

@@ -46,3 +46,8 @@ def test_one_run_over_many_blocks_and_empty_table(spark):
     got = {r["event_id"]: r["turn"] for r in cv.conversations(frame(spark, rows)).collect()}
     assert got == {f"e{i}": i + 1 for i in range(3000)}
     assert cv.conversations(frame(spark, [])).count() == 0
+
+
+def test_copies_of_an_event_meet_however_far_their_sequences_lie_apart(spark):
+    rows = [("far", 1, "a", "user", "x"), ("far", 2, "b", "ai", "y"), ("far", 90_000, "b", "ai", "other"), ("same", 1, "c", "user", "x"), ("same", 2, "d", "ai", "y"), ("same", 90_000, "d", "ai", "y")]
+    assert {r["run_id"] for r in cv.conversations(frame(spark, rows)).collect()} == {"same"}
