@@ -40,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_ids": lambda s, d: tokenizing.encode_texts(table(s, d, "documents").select("doc_id", "text")),
         "p7_mixes": lambda s, d: mixing.mix_copies(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p7_shares": lambda s, d: mixing.mix_report(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p7_marginals": lambda s, d: mixing.marginal_report(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p8_found": lambda s, d: residue.found(table(s, d, "documents")),
         "p8_clean_documents": lambda s, d: residue.without_residue(table(s, d, "documents")).select(
             "doc_id", "source", F.length("text").alias("n_characters")
