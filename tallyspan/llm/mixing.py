@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tallyspan.llm.tokenizing import count_tokens
 from tallyspan.session import cut
 
-#: Rounds of raking at most, and the relative change of every cell at which it ends before.
-ROUNDS, TOLERANCE = 25, 1e-3
+#: Rounds of raking at most, and the share of all tokens that changes its cell in a round at which it ends before.
+ROUNDS, TOLERANCE = 15, 1e-3
 #: Steps that hand out what capped cells leave over, until every source is met to ``EXACT``.
 SOURCE_STEPS, EXACT = 12, 1e-6
 #: Parts into which a range of the drawing order is cut, and rows that a task may sort to find where a draw ends.
@@ -73,11 +73,14 @@ def rake(cells: DataFrame, goal: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         state = state.join(share.select("mix_name", column, (F.col("__of") / F.col("__all")).alias(f"share_{column}")), ["mix_name", column])
     state = cut(state.withColumn("weight", F.least(F.col("tokens").cast("double"), F.col("most"))))
 
+    # Dozens of broadcasts would fill the driver; a shuffled join splits a hot language or source by AQE.
+    beside = lambda sums: sums.hint("shuffle_hash")
+
     def to_marginal(cells: DataFrame, column: str) -> DataFrame:
         sums = cells.groupBy("mix_name", column).agg(F.sum("weight").alias("__have"))
         scale = F.try_divide(F.col(f"share_{column}") * F.col("whole"), F.col("__have"))
         scaled = F.least(F.col("weight") * F.coalesce(scale, F.lit(1.0)), F.col("most"))
-        return cells.join(sums, ["mix_name", column]).withColumn("weight", scaled).drop("__have")
+        return cells.join(beside(sums), ["mix_name", column]).withColumn("weight", scaled).drop("__have")
 
     def to_source(cells: DataFrame) -> DataFrame:
         free = F.col("weight") < F.col("most") * (1 - 1e-12)
@@ -88,12 +91,12 @@ def rake(cells: DataFrame, goal: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         down = F.when(held >= F.col("reach"), F.col("weight") * F.try_divide("reach", held))
         up = F.least(F.col("weight") * F.coalesce(F.try_divide(F.col("reach") - F.col("__capped"), F.col("__room")), F.lit(1.0)), F.col("most"))
         given = F.coalesce(down, F.when(free, up), F.col("weight"))
-        return cells.join(sums, ["mix_name", "source"]).withColumn("weight", given).drop("__capped", "__room")
+        return cells.join(beside(sums), ["mix_name", "source"]).withColumn("weight", given).drop("__capped", "__room")
 
     for _ in range(rounds):
         new = to_source(to_marginal(to_marginal(state.withColumn("__before", F.col("weight")), "language"), "topic"))
         state = cut(new)
-        moved = state.agg(F.max(F.try_divide(F.abs(F.col("weight") - F.col("__before")), F.col("__before")))).first()[0]
+        moved = state.agg(F.try_divide(F.sum(F.abs(F.col("weight") - F.col("__before"))), F.sum("__before"))).first()[0]
         state = state.drop("__before")
         if moved is None or moved <= TOLERANCE:
             break
