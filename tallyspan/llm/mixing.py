@@ -66,16 +66,15 @@ def rake(cells: DataFrame, goal: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     mixes = reach.groupBy("mix_name").agg(F.sum("reach").alias("whole"))
     start = held.select("mix_name", *MARGINALS, "tokens", (F.col("cap") * F.col("tokens")).cast("double").alias("most"))
     # A cell carries what it is raked to: its source's reachable tokens, and its language's and topic's shares of the whole.
-    state = start.join(reach, ["mix_name", "source"]).join(mixes, "mix_name")
+    # Dozens of broadcasts would fill the driver; a shuffled join splits a hot language or source by AQE.
+    beside = lambda sums: sums.hint("shuffle_hash")
+    state = start.join(beside(reach), ["mix_name", "source"]).join(beside(mixes), "mix_name")
     everything = start.groupBy("mix_name").agg(F.sum("tokens").alias("__all"))
     for column in ("language", "topic"):
         share = start.groupBy("mix_name", column).agg(F.sum("tokens").alias("__of")).join(everything, "mix_name")
-        state = state.join(share.select("mix_name", column, (F.col("__of") / F.col("__all")).alias(f"share_{column}")), ["mix_name", column])
+        state = state.join(beside(share.select("mix_name", column, (F.col("__of") / F.col("__all")).alias(f"share_{column}"))), ["mix_name", column])
     state = cut(state.withColumn("weight", F.least(F.col("tokens").cast("double"), F.col("most"))))
 
-    # Dozens of broadcasts would fill the driver; a shuffled join splits a hot language or source by AQE.
-    beside = lambda sums: sums.hint("shuffle_hash")
-
     def to_marginal(cells: DataFrame, column: str) -> DataFrame:
         sums = cells.groupBy("mix_name", column).agg(F.sum("weight").alias("__have"))
         scale = F.try_divide(F.col(f"share_{column}") * F.col("whole"), F.col("__have"))
