@@ -12,7 +12,8 @@ import ast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_LENGTH, MAX_NODES, MAX_EXPONENT = 500, 100, 100.0
+# Bounds of a formula, of its exponents and bases, and the digits of a result.
+MAX_LENGTH, MAX_NODES, MAX_DEPTH, MAX_VARIABLES, MAX_EXPONENT, MAX_BASE, DIGITS = 500, 100, 20, 30, 100.0, 1e50, 10
 _BINARY = {
     ast.Add: lambda a, b: a + b,
     ast.Sub: lambda a, b: a - b,
@@ -22,7 +23,7 @@ _BINARY = {
 _CALLS = {
     "abs": (1, 1, lambda a: F.abs(a)),
     "sqrt": (1, 1, lambda a: F.when(a >= 0, F.sqrt(a))),
-    "log": (1, 1, lambda a: F.when(a > 0, F.log(a))),
+    "log": (1, 2, lambda a, b=None: F.when(a > 0, F.log(a)) if b is None else F.when((a > 0) & (b > 0) & (b != 1), F.try_divide(F.log(a), F.log(b)))),
     "exp": (1, 1, lambda a: F.exp(a)),
     "min": (2, 20, lambda *a: F.when(F.forall(F.array(*a), lambda x: x.isNotNull()), F.least(*a))),
     "max": (2, 20, lambda *a: F.when(F.forall(F.array(*a), lambda x: x.isNotNull()), F.greatest(*a))),
@@ -40,6 +41,14 @@ def compile_formula(text: str, inputs: dict[str, Column]) -> Column:
     if sum(1 for _ in ast.walk(tree)) > MAX_NODES:
         raise ValueError("formula has too many parts")
 
+    def depth(node: ast.AST) -> int:
+        return 1 + max(map(depth, ast.iter_child_nodes(node)), default=0)
+
+    if depth(tree.body) > MAX_DEPTH:
+        raise ValueError("formula is nested too deeply")
+    if not 1 <= len(inputs) <= MAX_VARIABLES:
+        raise ValueError(f"formula needs 1 to {MAX_VARIABLES} inputs")
+
     def build(node: ast.AST) -> Column:
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
             return F.lit(float(node.value))
@@ -51,8 +60,8 @@ def compile_formula(text: str, inputs: dict[str, Column]) -> Column:
         if isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
             return _BINARY[type(node.op)](build(node.left), build(node.right))
         if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Pow):
-            power = build(node.right)
-            return F.when(F.abs(power) <= MAX_EXPONENT, F.pow(build(node.left), power))
+            base, power = build(node.left), build(node.right)
+            return F.when((F.abs(power) <= MAX_EXPONENT) & (F.abs(base) <= MAX_BASE), F.pow(base, power))
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in _CALLS and not node.keywords:
             least, most, make = _CALLS[node.func.id]
             if least <= len(node.args) <= most:
@@ -60,4 +69,4 @@ def compile_formula(text: str, inputs: dict[str, Column]) -> Column:
         raise ValueError(f"formula holds a part that is not allowed: {type(node).__name__}")
 
     value = build(tree.body)
-    return F.when(~F.isnan(value) & (F.abs(value) <= 1e100), value)
+    return F.when(~F.isnan(value) & (F.abs(value) <= 1e100), F.round(value, DIGITS))

@@ -25,6 +25,17 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[A-Za-z0-9_]{2,}")) + han - F.regexp_count(text, F.lit("[一-鿿]{2,}"))
 
 
+def count_terms(text: Column, terms: list[str]) -> dict[str, Column]:
+    """How often each term is among the ``tokens`` of a text: one search for all Latin words, one for each Han bigram."""
+    latin = [t for t in terms if not "一" <= t[0] <= "鿿"]
+    hits = F.regexp_extract_all(F.lower(text), F.lit(f"(?<![a-z0-9_])(?:{'|'.join(latin)})(?![a-z0-9_])"), F.lit(0))
+
+    def times(term: str) -> Column:
+        return F.size(F.filter(hits, lambda x: x == F.lit(term)))
+
+    return {t: times(t) if t in latin else count_term(text, t) for t in terms}  # without Latin terms nothing asks for hits
+
+
 def count_term(text: Column, term: str) -> Column:
     """How often one term is among the ``tokens`` of a text; bigrams overlap, so they are counted by looking ahead."""
     if "一" <= term[0] <= "鿿":
@@ -52,21 +63,36 @@ def content_id(*parts: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """http(s) only and without credentials; lower-case scheme and host, no fragment, no tracking parameters, path at
-    least '/'. Null for anything else."""
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    query = F.array_join(
-        F.filter(
-            F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&"),
-            lambda q: (q != "") & ~q.rlike("^(utm_[^=]*|gclid|fbclid)(=|$)"),
-        ),
-        "&",
+    """http(s) only and without credentials; lower-case scheme, host and port, no fragment, no tracking parameters, the others
+    decoded and encoded again in their order, path at least '/'. Null for anything else."""
+    part = lambda name: F.try_parse_url(url, F.lit(name))
+    host, authority = F.lower(part("HOST")), F.lower(part("AUTHORITY"))
+    pair = lambda q: F.struct(
+        F.try_url_decode(F.regexp_extract(q, "^([^=]*)", 1)).alias("name"), F.try_url_decode(F.regexp_extract(q, "^[^=]*=(.*)$", 1)).alias("value")
     )
-    path = F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    fits = scheme.isin("http", "https") & host.rlike(r"^[a-z0-9.-]+\.[a-z]{2,}$") & F.try_parse_url(url, F.lit("USERINFO")).isNull()
-    return F.when(fits, F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+    pairs = F.transform(F.filter(F.split(F.coalesce(part("QUERY"), F.lit("")), "&"), lambda q: q != ""), pair)
+    kept = F.filter(pairs, lambda p: p["name"].isNotNull() & ~p["name"].rlike("(?i)^(?:utm_.*|gclid|fbclid)$"))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(F.coalesce(p["value"], F.lit(""))))), "&")
+    path = F.coalesce(F.nullif(part("PATH"), F.lit("")), F.lit("/"))
+    scheme = F.lower(part("PROTOCOL"))
+    fits = scheme.isin("http", "https") & host.rlike(r"^(?:[a-z0-9-]+\.)+[a-z]{2,63}$") & part("USERINFO").isNull()
+    return F.when(fits, F.concat(scheme, F.lit("://"), authority, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
 def quality_tier(host: Column) -> Column:
-    return F.when(host.rlike(r"(^|\.)(gov|gov\.cn|gov\.uk|europa\.eu)$"), "public_authority").otherwise("open_web")
+    """public_authority for hosts of governments and their bodies (fixed values), else open_web."""
+    return F.when(host.rlike(r"\.(gov|gov\.cn|gov\.uk|europa\.eu)$") | host.isin("sec.gov", "federalreserve.gov"), "public_authority").otherwise("open_web")
+
+
+def content_key(text: Column) -> Column:
+    """White space collapsed, lower case: texts that differ in nothing else are one."""
+    return F.lower(F.regexp_replace(text, r"\s+", " "))
+
+
+def token_set(text: Column) -> Column:
+    """Distinct Latin words of two characters or more and bigrams of Han runs; a lone Han character gives none."""
+    return F.array_distinct(F.filter(tokens(text), lambda t: F.length(t) > 1))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyspan.functions.tokens import RUNS, count_term, count_tokens, tokens
+from tallyspan.functions.tokens import RUNS, count_terms, count_tokens, tokens
 from tallyspan.operators.blocks import BLOCK, before, with_figures
 from tallyspan.session import cut
 
@@ -35,23 +35,23 @@ def query_terms(query: str) -> Counter[str]:
 def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and score of the documents with a positive score.
 
-    Length and terms are counted inside each row by codegen'd expressions, so that only one row of corpus figures (documents,
-    mean length, document frequencies) is shuffled and no postings are built for a single question.
+    Length and terms of a text are counted in one scan; the narrow counts are written once and read twice, for the corpus
+    figures (documents, mean length, document frequencies: one row) and for the scores. No postings are built for a single
+    question.
     """
-    terms = sorted(query_terms(query).items())
-    counted = documents.where(F.col(text).isNotNull()).select(
-        key,
-        count_tokens(F.col(text)).alias("__n"),
-        *[count_term(F.col(text), t).alias(f"__f{i}") for i, (t, _) in enumerate(terms)],
+    asked = sorted(query_terms(query).items())
+    counts = count_terms(F.col(text), [t for t, _ in asked])
+    counted = cut(
+        documents.where(F.col(text).isNotNull()).select(key, count_tokens(F.col(text)).alias("__n"), *[counts[t].alias(f"__f{i}") for i, (t, _) in enumerate(asked)])
     )
     figures = counted.agg(
         F.count("*").alias("__docs"),
         F.avg("__n").alias("__avg"),
-        *[F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(terms))],
+        *[F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(asked))],
     )
     norm = K1 * (1 - B + B * F.greatest(F.col("__n"), F.lit(1)) / F.greatest(F.col("__avg"), F.lit(1e-9)))
     score: Column = F.lit(0.0)
-    for i, (_, times) in enumerate(terms):
+    for i, (_, times) in enumerate(asked):
         idf = F.log(1 + (F.col("__docs") - F.col(f"__d{i}") + 0.5) / (F.col(f"__d{i}") + 0.5))
         tf = F.col(f"__f{i}")
         score = score + times * idf * tf * (K1 + 1) / (tf + norm)
@@ -75,14 +75,23 @@ def postings(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def cosine(vectors: DataFrame, query: list[float], key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``key`` and cosine of every vector to the query; vectors of other length or zero norm drop out."""
-    held = vectors.select(key, F.col(vector).cast("array<double>").alias("v")).where(F.size("v") == len(query))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    size = sum(x * x for x in query) ** 0.5
-    return held.select(key, F.try_divide(dot(F.col("v"), q), F.sqrt(dot(F.col("v"), F.col("v"))) * size).alias("score")).where(
-        F.col("score").isNotNull()
-    )
+    """``key`` and cosine of every vector to the query; vectors of other length, with nulls or of zero norm drop out."""
+    q = np.asarray(query, dtype=np.float64)
+    size = float(np.sqrt(q @ q))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            fits = batch.map(lambda v: v is not None and len(v) == len(q))
+            out = np.full(len(batch), np.nan)
+            if fits.any() and size > 0:
+                m = np.stack([np.asarray(v, dtype=np.float64) for v in batch[fits]])
+                norm = np.sqrt(np.einsum("ij,ij->i", m, m)) * size
+                out[fits.to_numpy()] = np.divide(m @ q, norm, out=np.full(len(m), np.nan), where=norm > 0)
+            yield pd.Series(out)
+
+    scored = vectors.select(key, score(F.col(vector).cast("array<double>")).alias("score"))
+    return scored.where(F.col("score").isNotNull() & ~F.isnan("score"))
 
 
 def top_each(scored: DataFrame, k: int, query: str, key: str) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,26 +48,3 @@ def greedy_fill(items: DataFrame, budget: float, cost: str, place: str) -> DataF
     at = F.col(place)
     inside = (F.col("__after").isNull() | (at > F.col("__after"))) & (F.col("__stop").isNull() | (at < F.col("__stop")))
     return rows.join(F.broadcast(taken), inside & (F.col(cost).cast("double") <= F.col("__most")), "left_semi")
-
-
-def fold_by_key(df: DataFrame, key: str, order: list[str], schema: str, start, step) -> DataFrame:
-    """A fold over the rows of every key in order, row by row: ``step(state, row) -> (state, output row or None)``.
-
-    Rows stream through a task that holds only the state of the current key, however many rows a key has.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in schema.split(",")]
-        current, state = object(), None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                k = getattr(row, key)
-                if k != current:
-                    current, state = k, start()
-                state, made = step(state, row)
-                if made is not None:
-                    out.append(made)
-            yield pd.DataFrame(out, columns=names)
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from tallyspan.operators.blocks import BLOCK, before, by_time, with_figures
 
 
-def last_written(points: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """One row per key: the one written last."""
+def last_written(points: DataFrame, keys: list[str], position: str, *ties: str) -> DataFrame:
+    """One row per key: the one written last; ``ties`` order rows of the same position, the highest wins."""
     rest = [c for c in points.columns if c not in keys]
-    return points.groupBy(*keys).agg(F.max_by(F.struct(*rest), position).alias("__x")).select(*keys, "__x.*")
+    return points.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(position, *ties)).alias("__x")).select(*keys, "__x.*")
 
 
 def _carried(points: DataFrame, series: str, at: str, value: str, characters: int) -> DataFrame:

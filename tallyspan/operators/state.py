@@ -1,15 +1,12 @@
-"""State that is kept as events: current views, idempotent appends, runs, queues, admission and retention."""
+"""State that is kept as events: current views, idempotent appends, runs, scans and retention."""
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspan.operators.blocks import BLOCK, before, by_time, with_figures
-from tallyspan.operators.selection import fold_by_key
 
 
 def current_view(events: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
@@ -47,26 +44,6 @@ def run_states(events: DataFrame) -> DataFrame:
     )
 
 
-def admitted(calls: DataFrame, key: str, at: str, tie: str, most: int, period: float) -> DataFrame:
-    """Sliding-window admission: a call is let in if fewer than ``most`` admitted calls lie within the last ``period``
-    seconds. Rejected calls don't count, so the rule is a fold and no window function."""
-
-    def step(stamps: deque, row):
-        while stamps and stamps[0] <= row.at_seconds - period:
-            stamps.popleft()
-        let_in = len(stamps) < most
-        if let_in:
-            stamps.append(row.at_seconds)
-        return stamps, (getattr(row, key), getattr(row, tie), let_in)
-
-    kinds = {c: calls.schema[c].dataType.simpleString() for c in (key, tie)}
-    narrow = calls.select(key, tie, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("at_seconds"))
-
-    return fold_by_key(
-        narrow, key, ["at_seconds", tie], f"{key} {kinds[key]}, {tie} {kinds[tie]}, admitted boolean", deque, step
-    )
-
-
 def kept_after(events: DataFrame, at: str, cutoff) -> DataFrame:
     """Retention: the rows from the cutoff on."""
     return events.where(F.col(at) >= F.lit(cutoff))
@@ -81,33 +58,31 @@ def dense_sequence(events: DataFrame, thread: str, order: list[str], characters:
     return with_figures(held, counts, [thread]).withColumn("dense", (F.col("__n") + place).cast("bigint")).drop(BLOCK, "__n")
 
 
-# What each operation does to a job. State, operation -> next state.
-QUEUE_MOVES = {
-    ("pending", "claim"): "leased",
-    ("leased", "complete"): "completed",
-    ("leased", "fail"): "pending",
-    ("pending", "cancel"): "cancelled",
-    ("leased", "cancel"): "cancel_requested",
-    ("cancel_requested", "acknowledge"): "cancelled",
-}
+def scan_after(events: DataFrame, thread: dict[str, str], after: int, limit: int, kinds: list[str] | None = None) -> DataFrame:
+    """A page of a thread's events: those after a sequence number, of the given kinds, in ascending order."""
+    held = events.where(F.col("sequence") > after)
+    for column, value in thread.items():
+        held = held.where(F.col(column) == F.lit(value))
+    held = held if kinds is None else held.where(F.col("event_kind").isin(kinds))
+    return held.orderBy("sequence", "event_id").limit(limit)
+
 
+def newest_first(rows: DataFrame, scope: list[str], at: str, tie: str, most: int) -> DataFrame:
+    """The ``most`` newest rows of every scope with their place; each scope is cut to them inside tasks before the shuffle."""
+    place = F.row_number().over(W.partitionBy(*scope).orderBy(F.desc(at), F.desc(tie)))
+    return rows.withColumn("place", place).where(F.col("place") <= most)
 
-def queue_states(operations: DataFrame, job: str, operation: str, order: list[str], max_attempts: int = 2) -> DataFrame:
-    """State of every job after each of its operations: job, step, state, attempts.
 
-    A job begins pending; a failure after ``max_attempts`` claims leaves it dead. Operations that don't fit are ignored.
-    """
+def appended(ledger: DataFrame, new: DataFrame, thread: str, key: str, order: list[str]) -> DataFrame:
+    """Rows of ``new`` whose key the ledger doesn't hold, once each, numbered after the last sequence of their thread."""
+    fresh = new.dropDuplicates([key]).join(ledger.select(key), key, "left_anti")
+    last = ledger.groupBy(thread).agg(F.max("sequence").alias("__last"))
+    return dense_sequence(fresh, thread, order).join(last, thread, "left").withColumn("sequence", F.coalesce("__last", F.lit(0)) + F.col("dense")).drop("__last", "dense")
 
-    def step(at, row):
-        number, state, attempts = at
-        done = getattr(row, operation)
-        new = QUEUE_MOVES.get((state, done), state)
-        attempts += new == "leased" and state == "pending"
-        if state == "leased" and done == "fail" and attempts >= max_attempts:
-            new = "dead"
-        return (number + 1, new, attempts), (getattr(row, job), number + 1, new, attempts)
 
-    kind = operations.schema[job].dataType.simpleString()
-    return fold_by_key(
-        operations.select(job, operation, *order), job, order, f"{job} {kind}, step bigint, state string, attempts int", lambda: (0, "pending", 0), step
+def first_and_last(rows: DataFrame, keys: list[str], at: str, first: list[str], last: list[str]) -> DataFrame:
+    """Upsert as a view: ``first`` columns from a key's earliest row, ``last`` columns from its latest."""
+    early, late = F.struct(at, *first), F.struct(at, *last)
+    return rows.groupBy(*keys).agg(F.min(early).alias("__a"), F.max(late).alias("__z")).select(
+        *keys, *[F.col(f"__a.{c}").alias(c) for c in first], *[F.col(f"__z.{c}").alias(c) for c in last], F.col(f"__a.{at}").alias("created_at"), F.col(f"__z.{at}").alias("updated_at")
     )

@@ -11,6 +11,7 @@ from tallyspan.functions import text
 from tallyspan.functions import tokens as tk
 from tallyspan.functions.formula import compile_formula
 from tallyspan.operators import facts, instants, ledger, retrieval, selection, series, state
+from tallyspan.plans import evidence
 from tallyspan.session import table
 from tallyspan.streaming import jobs
 
@@ -27,11 +28,10 @@ tok AS (SELECT doc_id, lower(r) AS term FROM runs WHERE regexp_matches(r, '^[A-Z
 
 
 def _bm25_sql(where: str = "TRUE") -> str:
-    terms = ", ".join(f"('{t}', {n})" for t, n in sorted(retrieval.query_terms(QUESTION).items()))
     return f"""{_TOK},
 cand AS (SELECT doc_id FROM documents WHERE text IS NOT NULL AND {where}),
 len AS (SELECT c.doc_id, count(t.term) AS n FROM cand c LEFT JOIN tok t USING (doc_id) GROUP BY c.doc_id),
-q(term, qf) AS (VALUES {terms}),
+q AS (SELECT lower(r) AS term, count(*) AS qf FROM (SELECT unnest(regexp_extract_all('{QUESTION}', '[A-Za-z0-9_]+')) AS r) WHERE length(r) > 1 GROUP BY 1),
 tf AS (SELECT doc_id, term, count(*) AS f FROM tok JOIN cand USING (doc_id) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS d FROM tf GROUP BY term),
 st AS (SELECT count(*) AS nn, avg(n) AS av FROM len),
@@ -161,7 +161,7 @@ def queries() -> dict[str, Query]:
         ),
         "latest_previous_change": lambda s, d: series.latest_change(_monthly(s, d), "series", "month", "value").select("series", *[_r(c, 4).alias(c) for c in ("latest", "previous", "difference")]),
         "last_written_daily": lambda s, d: series.last_written(
-            t(s, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "ts", "value"), ["user_id", "day"], "ts"
+            t(s, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "ts", "value"), ["user_id", "day"], "ts", "event_id"
         ).select("user_id", F.col("day").cast("string").alias("day"), "event_id", "value"),
         "scalar_formulas": lambda s, d: t(s, d, "customer").where("c_acctbal > 0").select(
             "c_custkey",
@@ -187,7 +187,7 @@ def queries() -> dict[str, Query]:
         "without_manifest": lambda s, d: ledger.without_manifest(t(s, d, "personal_documents"), t(s, d, "personal_index_manifests")).select("tenant_id", "user_id", "document_id"),
         "broken_references": lambda s, d: ledger.broken_references(
             t(s, d, "conversation_events").where("entities is not null").select("event_id", "entities"), "event_id", "entities",
-            t(s, d, "documents").select(F.trim(F.regexp_extract("title", "^(.*?) [–-] ", 1)).alias("entity")), "entity"
+            t(s, d, "documents").where("kb_name = 'personal_knowledge' AND lang = 'de'").select(F.trim(F.regexp_extract("title", "^(.*?) [–-] ", 1)).alias("entity")), "entity"
         ).distinct(),
         "formula_margin": lambda s, d: t(s, d, "lineitem").select(
             "l_orderkey", "l_linenumber",
@@ -206,11 +206,6 @@ def queries() -> dict[str, Query]:
         "current_memories": lambda s, d: state.current_view(t(s, d, "personal_memories").select("memory_id", "kind", "title", F.coalesce("updated_at", "created_at").alias("written_at")), ["memory_id"], "written_at", "title").select("memory_id", "kind", "title", "written_at", F.col("created_at_first").alias("first_at")),
         "appended_once": lambda s, d: state.appended_once(t(s, d, "conversation_events").select("event_id", F.md5(F.coalesce("content", F.lit(""))).alias("body")), "event_id", ["body"]),
         "run_states": lambda s, d: state.run_states(t(s, d, "conversation_events")),
-        "admission": lambda s, d: state.admitted(t(s, d, "events"), "user_id", "ts", "event_id", 2, 86400.0),
-        "queue_states": lambda s, d: state.queue_states(
-            t(s, d, "events").withColumn("operation", F.element_at(F.array(*[F.lit(x) for x in ("claim", "complete", "fail", "claim", "cancel", "acknowledge")]), (F.pmod("event_id", F.lit(6)) + 1).cast("int"))),
-            "user_id", "operation", ["ts", "event_id"],
-        ),
         "retention": lambda s, d: state.kept_after(t(s, d, "events"), "ts", "2024-01-15").groupBy("event_type").agg(F.count("*").alias("n")),
         "dense_sequence": lambda s, d: state.dense_sequence(t(s, d, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "dense"),
         "budget_usage": lambda s, d: t(s, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count("*").alias("events"), F.count_distinct("event_type").alias("kinds")),
@@ -219,24 +214,19 @@ def queries() -> dict[str, Query]:
         "tumbling_counts": lambda s, d: t(s, d, "events").groupBy(F.date_trunc("day", F.col("ts")).alias("day"), "event_type").agg(F.count("*").alias("n")),
         "rollup_revenue": lambda s, d: t(s, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")),
         "pricing_summary": lambda s, d: t(s, d, "lineitem").where("l_shipdate <= '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), _r(F.avg("l_discount")).alias("avg_disc"), F.count("*").alias("n")),
-        "stream_deduplicated": lambda s, d: jobs.run_to_files(jobs.deduplicated(jobs.event_stream(s, d, "events", "ts").select("event_id", "ts", "user_id"), "event_id", "ts")).select("event_id", "user_id"),
+        "stream_deduplicated": lambda s, d: jobs.run_to_files(
+            jobs.deduplicated(jobs.event_stream(s, d, "conversation_events", "occurred_at").select("event_id", "occurred_at").where("occurred_at is not null"), "event_id", "occurred_at", "30 days")
+        ).select("event_id"),
         "stream_tumbling": lambda s, d: jobs.run_to_latest(
             jobs.tumbling(jobs.event_stream(s, d, "events", "ts"), "ts", "1 day", "1 hour", "event_type", "value"), ["window_start", "event_type"]
         ).withColumn("total", _r("total")),
     }
-    return q
-
-
-def _hidden(message: str) -> str:
-    for pattern, left in text.CREDENTIALS:
-        replacement = left.replace("$1", chr(92) + "1")
-        message = f"regexp_replace({message}, '{pattern}', '{replacement}', 'g')"
-    return message
+    return q | evidence.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     bm = _bm25_sql()
-    return {
+    return evidence.oracle_sql(_TOK, _bm25_sql, _COS) | {
         "bm25_topk": f"WITH {bm} SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm ORDER BY score DESC, doc_id LIMIT {K}",
         "bm25_filtered": f"WITH {_bm25_sql('source = ' + chr(39) + 'filing' + chr(39))} SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm ORDER BY score DESC, doc_id LIMIT {K}",
         "term_frequencies": f"WITH {_TOK} SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM tok GROUP BY term",
@@ -248,8 +238,8 @@ def oracle_sql() -> dict[str, str]:
         "cosine_topk_each": f"WITH {_COS_EACH} SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cos QUALIFY rank <= {K}",
         "cosine_threshold_each": f"WITH {_COS_EACH} SELECT query_id, vec_id, round(score, 6) AS score FROM cos WHERE score >= 0.2",
         "rrf_hybrid": f"""WITH {bm}, {_COS},
-a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 100),
-b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM cos QUALIFY r <= 100),
+a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm),
+b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM cos),
 x AS (SELECT doc_id, coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0) AS score FROM a FULL JOIN b USING (doc_id))
 SELECT doc_id, round(CAST(score AS DOUBLE), 8) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x ORDER BY score DESC, doc_id LIMIT {K}""",
         "diversified_topk": f"""WITH {bm}, x AS (SELECT doc_id, coalesce(source, '') AS source, score FROM bm JOIN documents USING (doc_id)),
@@ -280,7 +270,7 @@ round(c_acctbal * 0.01 * power(1.01, 12) / (power(1.01, 12) - 1), 6) AS loan_pay
         "interleaved": f"""WITH {bm}, x AS (SELECT doc_id, coalesce(source, '') AS source, score FROM bm JOIN documents USING (doc_id)),
 y AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS pass FROM x)
 SELECT doc_id, source, row_number() OVER (ORDER BY pass, source) AS place FROM y ORDER BY pass, source LIMIT 40""",
-        "greedy_budget": f"""WITH RECURSIVE {bm}, x AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id) QUALIFY rank <= 60),
+        "greedy_budget": f"""WITH RECURSIVE {bm}, x AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id)),
 g(rank, used, taken) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), false
   UNION ALL SELECT x.rank, CASE WHEN used + n_chars <= 20000 THEN used + n_chars ELSE used END, used + n_chars <= 20000 FROM g JOIN x ON x.rank = g.rank + 1)
 SELECT doc_id, x.rank, n_chars FROM g JOIN x USING (rank) WHERE taken""",
@@ -292,12 +282,16 @@ LEFT JOIN (SELECT tenant_id, user_id, document_id, count(*) AS pages, CAST(sum(n
   FROM personal_document_pages GROUP BY ALL) GROUP BY ALL) p USING (tenant_id, user_id, document_id)
 LEFT JOIN (SELECT tenant_id, user_id, document_id, max_by(index_status, indexed_at) AS index_status FROM personal_index_manifests GROUP BY ALL) m USING (tenant_id, user_id, document_id)""",
         "without_manifest": "SELECT tenant_id, user_id, document_id FROM personal_documents d ANTI JOIN personal_index_manifests m USING (tenant_id, user_id, document_id)",
-        "broken_references": """SELECT DISTINCT event_id, entity FROM (SELECT event_id, unnest(entities) AS entity FROM conversation_events WHERE entities IS NOT NULL)
-WHERE entity IS NOT NULL AND entity NOT IN (SELECT trim(regexp_extract(title, '^(.*?) [–-] ', 1)) FROM documents WHERE title IS NOT NULL)""",
+        "broken_references": """SELECT DISTINCT event_id, entity FROM (SELECT event_id, unnest(entities) AS entity FROM conversation_events WHERE entities IS NOT NULL) e
+WHERE NOT EXISTS (SELECT 1 FROM documents WHERE kb_name = 'personal_knowledge' AND lang = 'de' AND trim(regexp_extract(title, '^(.*?) [–-] ', 1)) = e.entity)""",
         "formula_margin": "SELECT l_orderkey, l_linenumber, round((l_extendedprice - l_extendedprice * (1 - l_tax)) / l_extendedprice, 6) AS margin FROM lineitem",
         "citations": r"SELECT DISTINCT event_id, unnest(regexp_extract_all(content, '\[\^([^\]\s]+)\]', 1)) AS cited FROM conversation_events WHERE content IS NOT NULL",
         "token_estimates": "SELECT doc_id, CAST(greatest(1, (strlen(text) + 2) // 3) AS BIGINT) AS by_bytes FROM documents WHERE text IS NOT NULL",
-        "hidden_credentials": "SELECT event_id, " + _hidden("concat('Token: ', coalesce(run_id, 'none'), '; ', content)") + " AS message FROM conversation_events WHERE content IS NOT NULL",
+        "hidden_credentials": r"""WITH m AS (SELECT event_id, concat('Token: ', coalesce(run_id, 'none'), '; ', content) AS x FROM conversation_events WHERE content IS NOT NULL),
+a AS (SELECT event_id, regexp_replace(x, '\b[Bb][Ee][Aa][Rr][Ee][Rr]\s+[^\s,;]+', 'Bearer ***REDACTED***', 'g') AS x FROM m),
+b AS (SELECT event_id, regexp_replace(x, '\bsk-[a-z0-9_-]+', 'sk-***REDACTED***', 'gi') AS x FROM a),
+c AS (SELECT event_id, regexp_replace(x, '\b(api_key|api-key|apikey|access_token|access-token|accesstoken|token|password|secret|authorization)\s*[:=]\s*[^\s,;]+', '\1=***REDACTED***', 'gi') AS x FROM b)
+SELECT event_id, regexp_replace(x, '(http[s]?://[^:/@\s]+:)[^@\s]+@', '\1***REDACTED***@', 'gi') AS message FROM c""",
         "content_ids": "SELECT doc_id, substr(sha256(concat(coalesce(title, ''), chr(0), coalesce(text, ''))), 1, 20) AS content_id FROM documents",
         "canonical_urls": "SELECT pos, concat('https://www.', replace(provider, '_', '-'), '.example.com/', replace(locator, ':', '/'), '?id=', source_id) AS url FROM sources",
         "first_per_url": "SELECT concat('https://www.', replace(provider, '_', '-'), '.example.com/', replace(locator, ':', '/'), '?id=', source_id) AS url, min(pos) AS pos FROM sources GROUP BY 1",
@@ -316,5 +310,5 @@ count(*) FILTER (k = 'toolevent') AS tool_events FROM e GROUP BY 1""",
         "rollup_revenue": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
         "pricing_summary": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
         "stream_tumbling": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
-        "stream_deduplicated": "SELECT event_id, user_id FROM events",
+        "stream_deduplicated": "SELECT DISTINCT event_id FROM conversation_events WHERE occurred_at IS NOT NULL",
     }

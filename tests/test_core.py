@@ -88,12 +88,6 @@ def test_greedy_skips_what_does_not_fit(spark):
     assert sorted(r["cost"] for r in selection.greedy_fill(df, 10, "cost", "place").collect()) == [1, 4, 5]
 
 
-def test_admission_counts_admitted_calls_only(spark):
-    df = spark.createDataFrame([("k", i, f"2024-01-01 00:00:{s:02d}") for i, s in enumerate([0, 0, 0, 5, 11, 12, 12])] + [("j", 9, "2024-01-01 00:00:00")], "k string, id bigint, t string")
-    got = {r["id"]: r["admitted"] for r in state.admitted(df.withColumn("t", F.col("t").cast("timestamp")), "k", "t", "id", 2, 10.0).collect()}
-    assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 9: True}
-
-
 def test_ledger_checks(spark):
     claims = spark.createDataFrame([("c1", ["e1", "e2"]), ("c2", [])], "claim string, ids array<string>")
     evidence = spark.createDataFrame([("e1",)], "evidence_id string")
@@ -144,12 +138,6 @@ def test_credentials_are_hidden(spark):
     assert df.select(hide_credentials(F.col("t"), 4)).first()[0] == "auth"
 
 
-def test_queue_moves(spark):
-    rows = [(1, i, op) for i, op in enumerate(["complete", "claim", "fail", "claim", "fail", "claim"])] + [(2, 0, "claim"), (2, 1, "cancel"), (2, 2, "acknowledge")]
-    got = state.queue_states(spark.createDataFrame(rows, "job int, at int, op string"), "job", "op", ["at"]).orderBy("job", "step").collect()
-    assert [r["state"] for r in got] == ["pending", "leased", "pending", "leased", "dead", "dead", "leased", "cancel_requested", "cancelled"]
-
-
 def test_blocks_give_what_whole_keys_give(spark):
     """Small blocks, gaps between them, null keys, repeated rows and spans longer than many blocks."""
     draw = random.Random(5)
