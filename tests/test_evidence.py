@@ -174,7 +174,7 @@ def test_values_are_cleaned(spark):
     assert one(clean.field_name(F.col("a")), a="Stockholders' equity") == "stockholders_equity"
     nested = {"Token": "x", "list": list(range(130)), "deep": [{"content": "y", "ok": "z" * 2100}]}
     got = json.loads(one(clean.redact_json(F.col("a")), a=json.dumps(nested)))
-    assert got["Token"] == clean.HIDDEN and got["list"][-1] == "... 30 more" and got["deep"][0]["content"] == clean.OMITTED and len(got["deep"][0]["ok"]) == 2011
+    assert got["Token"] == clean.HIDDEN and got["list"][-1] == "... 30 more" and got["deep"][0]["content"] == clean.OMITTED and len(got["deep"][0]["ok"]) == 2012
     assert one(clean.redact_json(F.col("a")), a="{broken") is None
     assert one(clean.or_default(F.col("a"), F.lit("d")), a="0") == "d" and one(clean.first_text(F.col("a"), F.lit(" b ")), a=" ") == "b" and one(clean.confidence(F.col("a")), a="1.7") == 1.0 and one(clean.confidence(F.col("a")), a="high") == 0.5
     assert [one(clean.exchange_code(F.col("a")), a=x) for x in ("600519.ss", "000001", "AAPL", "0700.HK")] == ["600519.SH", "000001.SZ", "AAPL.US", "0700.HK"]
