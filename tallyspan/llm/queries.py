@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: splitting.found(*_documents(s, d)),
         "p1_pieces": lambda s, d: splitting.pieces(*_documents(s, d)),
+        "p1_reassembled": lambda s, d: splitting.reassembled(*_documents(s, d)),
         "p1_fitting_counts": lambda s, d: splitting.fitting_counts(*_documents(s, d)),
         "p3_found": lambda s, d: scans.found(table(s, d, "personal_document_pages")),
         "p3_repaired_pages": lambda s, d: scans.repaired_pages(table(s, d, "personal_document_pages")),
@@ -38,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_redacted": lambda s, d: _redacted(s, d, "placeholder"),
         "p5_surrogates": lambda s, d: _redacted(s, d, "surrogate"),
         "p6_ids": lambda s, d: tokenizing.encode_texts(table(s, d, "documents").select("doc_id", "text")),
+        "p6_decoded": lambda s, d: tokenizing.decode_ids(tokenizing.encode_texts(table(s, d, "documents").select("doc_id", "text"))).select("doc_id", F.md5("text").alias("text")),
         "p7_mixes": lambda s, d: mixing.mix_copies(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p7_shares": lambda s, d: mixing.mix_report(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p7_marginals": lambda s, d: mixing.marginal_report(table(s, d, "documents"), table(s, d, "mix_targets")),
@@ -50,7 +52,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     visible = r"regexp_matches({0}, '[^\p{{Z}}\p{{C}}]')"
+    items = rf"""
+WITH p AS (SELECT DISTINCT tenant_id, user_id, document_id, page_number, text, blocks_json FROM personal_document_pages),
+j AS (SELECT *, CASE WHEN json_valid(blocks_json) AND json_type(TRY_CAST(blocks_json AS JSON)) = 'ARRAY'
+                      AND json_array_length(TRY_CAST(blocks_json AS JSON)) > 0 THEN TRY_CAST(blocks_json AS JSON) END AS b FROM p),
+i AS (
+  SELECT tenant_id, user_id, document_id, page_number, 'block' AS item_kind,
+         CAST(json_extract_string(x, '$.order') AS INT) AS block_order, json_extract_string(x, '$.content') AS content
+  FROM (SELECT *, unnest(CAST(b AS JSON[])) AS x FROM j WHERE b IS NOT NULL)
+  UNION ALL
+  SELECT tenant_id, user_id, document_id, page_number, 'page', -1, text FROM j WHERE b IS NULL),
+f AS (SELECT DISTINCT tenant_id, user_id, document_id, chunking_version FROM personal_index_manifests)
+SELECT DISTINCT i.tenant_id, i.user_id, i.document_id, page_number, item_kind, block_order, md5(content) AS text, true AS within, true AS overlapping
+FROM i LEFT JOIN f USING (tenant_id, user_id, document_id) JOIN chunking_policies c ON c.chunking_version = coalesce(f.chunking_version, 'legacy')
+WHERE length(content) > max_chars AND {visible.format('content')}"""
     return {
+        "p1_reassembled": items,
+        "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents",
         "p4_found": r"""
 WITH e AS (
   SELECT lower(regexp_replace(run_id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS run_id, sequence, event_id, content,

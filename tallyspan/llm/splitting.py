@@ -296,3 +296,27 @@ def fitting_counts(pages: DataFrame, manifests: DataFrame, policies: DataFrame)
     return made.join(latest_manifests(manifests).select(*DOC_KEYS, "chunk_count"), list(DOC_KEYS), "left").select(
         *DOC_KEYS, F.col("chunk_count").cast("bigint").alias("chunk_count"), "pieces_made"
     )
+
+
+def reassembled(pages: DataFrame, manifests: DataFrame, policies: DataFrame) -> DataFrame:
+    """Every item that was cut, put together again from its pieces: keys, page_number, item_kind, block_order, the MD5 of the
+    text, and whether all pieces are within the limit and share exactly the overlap with the next; distinct rows."""
+    empty = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    add = lambda acc, p: F.struct(
+        F.concat(acc["text"], F.substring(F.col("content"), F.greatest(acc["at"], p["piece_start"]) + 1, p["piece_end"] - F.greatest(acc["at"], p["piece_start"]))).alias("text"), p["piece_end"].alias("at")
+    )
+    following = F.arrays_zip(F.slice("pieces", 2, F.size("pieces") - 1).alias("b"), F.slice("pieces", 1, F.size("pieces") - 1).alias("a"))
+    return (
+        split_items(pages, manifests, policies)
+        .where(F.size("pieces") > 1)
+        .select(
+            *DOC_KEYS,
+            "page_number",
+            "item_kind",
+            "block_order",
+            F.md5(F.aggregate("pieces", empty, add)["text"]).alias("text"),
+            F.forall("pieces", lambda p: p["piece_end"] - p["piece_start"] <= F.col("max_chars")).alias("within"),
+            F.forall(following, lambda x: x["a"]["piece_end"] - x["b"]["piece_start"] == F.col("overlap_chars")).alias("overlapping"),
+        )
+        .distinct()
+    )
