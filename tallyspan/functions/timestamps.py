@@ -96,10 +96,11 @@ def _offset_micros(off: Column) -> Column:
     return F.when(F.substring(off, 1, 1) == "-", -size).otherwise(size)
 
 
-def with_instant(df: DataFrame, value: str, zone: str, order: str, out: str = "utc_micros") -> DataFrame:
+def with_instant(df: DataFrame, value: str, zone: str, order: str, out: str = "utc_micros", known_zones: bool = False) -> DataFrame:
     """Add ``out``: microseconds since 1970 UTC that ``value`` denotes, or null.
 
-    ``zone`` names the column with the place's IANA zone (unknown names count as null), ``order`` the one with mdy, dmy
+    ``zone`` names the column with the place's IANA zone (unknown names count as null; ``known_zones`` says that they have been
+    looked up already), ``order`` the one with mdy, dmy
     or ymd for numeric dates that don't begin with the year. Each step is a projection of its own, so that a component
     is computed once and the plan stays small however often later steps use it.
     """
@@ -133,7 +134,7 @@ def with_instant(df: DataFrame, value: str, zone: str, order: str, out: str = "u
             p + "minute": F.coalesce(_int(F.coalesce(g("mi"), g("mif"))), F.lit(0)),
             p + "second": F.coalesce(_int(F.coalesce(g("s"), g("sf"))), F.lit(0)),
             p + "fraction": _int(F.substring(F.rpad(F.coalesce(g("f"), F.lit("0")), 6, "0"), 1, 6)),
-            p + "named": F.coalesce(g("ra"), g("rb"), F.col(zone)),
+            p + "named": F.coalesce(g("ra"), g("rb")),
         }
     )
     df = df.withColumns(
@@ -149,7 +150,7 @@ def with_instant(df: DataFrame, value: str, zone: str, order: str, out: str = "u
                 & (n("day") <= _days_in_month(n("year"), n("month"))),
                 days_from_civil(n("year"), n("month"), n("day")),
             ),
-            p + "place": zone_or_null(n("named")),
+            p + "place": F.when(n("named").isNotNull(), zone_or_null(n("named"))).otherwise(F.col(zone) if known_zones else zone_or_null(F.col(zone))),
             p + "january": days_from_civil(n("year"), F.lit(1), F.lit(1)) * 86400000000,
             p + "july": days_from_civil(n("year"), F.lit(7), F.lit(1)) * 86400000000,
         }
@@ -181,5 +182,11 @@ def with_instant(df: DataFrame, value: str, zone: str, order: str, out: str = "u
 
 
 def utc_text(micros: Column) -> Column:
-    """``YYYY-MM-DDTHH:MM:SS.ffffffZ`` of microseconds since 1970; needs a session in UTC."""
-    return F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """``YYYY-MM-DDTHH:MM:SS.ffffffZ`` of microseconds since 1970, by integer arithmetic: the session's zone has no part in it."""
+    second, day = F.floor(micros / 1_000_000), F.floor(micros / 86_400_000_000)
+    of_day = second - day * 86_400
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    return F.concat(
+        F.date_from_unix_date(day.cast("int")).cast("string"), F.lit("T"), two(F.floor(of_day / 3600)), F.lit(":"), two(F.floor(of_day / 60) % 60), F.lit(":"), two(of_day % 60),
+        F.lit("."), F.lpad((micros - second * 1_000_000).cast("string"), 6, "0"), F.lit("Z"),
+    )

@@ -18,7 +18,7 @@ def normalise_instants(sources: DataFrame, providers: DataFrame, fields: tuple[s
     table is a small dimension; Spark broadcasts it by its measured size, so no hint is given.
     """
     dimension = providers.select(
-        F.col("provider").alias("__provider"), F.col("tz_name").alias("__tz"), F.col("date_order").alias("__order")
+        F.col("provider").alias("__provider"), zone_or_null(F.col("tz_name")).alias("__tz"), F.col("date_order").alias("__order")
     ).dropDuplicates(["__provider"])
     narrow = sources.select("pos", "provider", "metadata", *fields)
     long = narrow.select(
@@ -30,7 +30,7 @@ def normalise_instants(sources: DataFrame, providers: DataFrame, fields: tuple[s
     joined = long.join(dimension, long["provider"].eqNullSafe(dimension["__provider"]), "left").withColumn(
         "__zone", F.coalesce(zone_or_null(F.col("__own")), F.col("__tz"))
     )
-    return with_instant(joined, "raw", "__zone", "__order").select(
+    return with_instant(joined, "raw", "__zone", "__order", known_zones=True).select(
         "pos", "field_name", "raw", "utc_micros", F.coalesce(F.col("raw").rlike(CANONICAL), F.lit(False)).alias("already_canonical")
     )
 
