@@ -11,7 +11,7 @@ from tallyspan.functions import text
 from tallyspan.functions import tokens as tk
 from tallyspan.functions.formula import compile_formula
 from tallyspan.operators import facts, instants, ledger, retrieval, selection, series, state
-from tallyspan.plans import evidence
+from tallyspan.plans import evidence, library
 from tallyspan.session import table
 from tallyspan.streaming import jobs
 
@@ -221,12 +221,12 @@ def queries() -> dict[str, Query]:
             jobs.tumbling(jobs.event_stream(s, d, "events", "ts"), "ts", "1 day", "1 hour", "event_type", "value"), ["window_start", "event_type"]
         ).withColumn("total", _r("total")),
     }
-    return q | evidence.queries()
+    return q | evidence.queries() | library.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     bm = _bm25_sql()
-    return evidence.oracle_sql(_TOK, _bm25_sql, _COS) | {
+    return evidence.oracle_sql(_TOK, _bm25_sql, _COS) | library.oracle_sql() | {
         "bm25_topk": f"WITH {bm} SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm ORDER BY score DESC, doc_id LIMIT {K}",
         "bm25_filtered": f"WITH {_bm25_sql('source = ' + chr(39) + 'filing' + chr(39))} SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm ORDER BY score DESC, doc_id LIMIT {K}",
         "term_frequencies": f"WITH {_TOK} SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM tok GROUP BY term",
