@@ -205,3 +205,41 @@ def test_ledger_scans_and_appends(spark):
     assert [r["event_id"] for r in state.scan_after(ledger, {"thread": "t"}, 0, 5, ["ai"]).collect()] == ["e2"]
     new = spark.createDataFrame([("t", "e2", 1), ("t", "e9", 2), ("t", "e9", 2), ("w", "e8", 3)], "thread string, event_id string, at int").withColumn("at", F.timestamp_seconds("at"))
     assert {(r["event_id"], r["sequence"]) for r in state.appended(ledger, new, "thread", "event_id", ["at", "event_id"]).collect()} == {("e9", 6), ("e8", 1)}
+
+
+def test_identifiers_and_answers(spark):
+    one = lambda c, text: spark.createDataFrame([(text,)], "a string").select(c).first()[0]
+    from tallyspan.functions import checks
+
+    assert [one(checks.ticker(F.col("a")), x) for x in (" aapl ", "x y", None, "600519.SS")] == ["AAPL", None, None, "600519.SS"]
+    assert [str(one(checks.iso_date(F.col("a")), x)) for x in ("2024-02-29", "2023-02-29", "2024-2-1", None)] == ["2024-02-29", "None", "None", "None"]
+    assert one(checks.series_ids(F.split("a", ",")), "cpi, gdp,CPI,b d") == ["CPI", "GDP"]
+    assert one(checks.report_text(F.col("a")), "# a\n[b] | `c`") == "\\# a \\[b\\] \\| \\`c\\`"
+    assert [one(checks.gap_code(F.col("a")), x) for x in ("as_of_missing", "Bad code", None)] == ["as_of_missing", "data_gap", "data_gap"]
+    assert one(checks.discovery_tokens(F.col("a")), "corpus.search for 利率研究 and v2-beta v2-beta") == ["corpus.search", "for", "利率研究", "and", "v2-beta"]
+    assert [one(checks.safe_identifier(F.col("a")), x) for x in ("../a b/c", "…", None)] == ["a_b_c", "item", "item"]
+    assert [one(checks.fenced_json(F.col("a")), x) for x in ('so:\n```json\n{"a": 1}\n```', 'x {"b": {"c": 2}} y', "{broken", None)] == ['{"a": 1}', '{"b": {"c": 2}}', None, None]
+    assert one(checks.at(F.split("a", ","), 2, F.lit("d")), "x,y") == "d" and one(checks.fact_period(F.lit(" "), F.col("a")), "2024") == "2024"
+
+
+def test_library_and_audit(spark):
+    from tallyspan.operators import audit, library
+
+    docs = spark.createDataFrame([("d1", "x"), ("d2", "y"), ("d2", "y")], "id string, body string")
+    new = spark.createDataFrame([("d2", None), ("d3", "z")], "id string, body string")
+    assert {tuple(r) for r in library.merged_sets(docs, new, ["id"]).collect()} == {("d1", "x"), ("d2", None), ("d3", "z")}
+    vectors = spark.createDataFrame([("d1", [3.0, 4.0]), ("d2", None), ("d3", [0.0, 0.0]), ("d4", [1.0]), ("d5", [float("inf"), 1.0])], "id string, embedding array<double>")
+    assert [(r["id"], r["embedding"]) for r in library.unit_vectors(vectors, "id").collect()] == [("d1", [0.6, 0.8])]
+    made = library.embed_missing(docs.unionByName(new), vectors.where("id = 'd1'"), "id", "body", lambda texts: [[float(len(t)), 1.0] for t in texts])
+    assert sorted((r["id"], r["embedding"]) for r in made.collect()) == [("d2", [1.0, 1.0]), ("d2", [1.0, 1.0]), ("d3", [1.0, 1.0])]
+    manifests = spark.createDataFrame([("d1", "m", 2), ("d4", "m", 2), ("d3", "other", 2)], "id string, embedding_model string, embedding_dimension int")
+    assert [r["id"] for r in library.vectors_of_model(vectors, manifests, ["id"], "m").collect()] == ["d1"]
+    rows = spark.createDataFrame([("c:2", 1, "a"), ("c:10", 2, "b"), ("c:2", 3, "z"), ("odd", 1, "q")], "call_id string, place int, status string")
+    assert [(r["call_id"], r["status"]) for r in audit.merged_calls(rows, "call_id", "place").orderBy("number", "call_id").collect()] == [("odd", "q"), ("c:2", "z"), ("c:10", "b")]
+    texts = spark.createDataFrame([(1, "Harrow Freight's margin"), (2, "harrow the field freight"), (3, None), (4, "利率 Wexley")], "id int, t string")
+    names = spark.createDataFrame([("Harrow Freight",), ("Wexley",), (" ",), (None,)], "n string")
+    assert {tuple(r) for r in audit.leaks(texts, names, "id", "t", "n").collect()} == {(1, "harrow freight"), (4, "wexley")}
+    assert audit.leaks(texts, names.limit(0), "id", "t", "n").count() == 0
+    observed = spark.createDataFrame([("r1", "succeeded", 2), ("r2", "succeeded", 1), ("r3", "failed", 5)], "run string, status string, observations int")
+    assert [r["run"] for r in audit.eligible(observed).collect()] == ["r1"]
+    assert library.cascade({"docs": docs}, new, ["id"])["docs"].count() == 1
