@@ -43,7 +43,7 @@ def unit_vectors(vectors: DataFrame, key: str) -> DataFrame:
                 if 2 <= len(a) <= 65_536 and np.isfinite(n) and n > 0:
                     ids.append(k)
                     made.append(a / n)
-            yield pd.DataFrame({key: ids, "embedding": made})
+            yield pd.DataFrame({key: pd.Series(ids, dtype=batch[key].dtype), "embedding": pd.Series(made, dtype=object)})
 
     kind = vectors.schema[key].dataType.simpleString()
     return vectors.select(key, "embedding").mapInPandas(run, f"{key} {kind}, embedding array<double>")
