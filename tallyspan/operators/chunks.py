@@ -93,41 +93,49 @@ def block_groups(blocks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def table_parts(content: str, size: int) -> list[str]:
-    """A table as parts of ``size`` tokens at most: whole rows, each part with the header (and, for HTML, the end) of the
-    table; a row that is too long itself is cut between tokens."""
-    count = lambda t: len(TOKEN.findall(t))
+def _count(text: str) -> int:
+    return sum(1 for _ in TOKEN.finditer(text))
+
+
+def _sliced(text: str, size: int) -> list[str]:
+    """A text cut between tokens, ``size`` tokens each."""
+    places = [m.span() for m in TOKEN.finditer(text)]
+    groups = [places[i : i + size] for i in range(0, len(places), size)]
+    return [text[g[0][0] : g[-1][1]] for g in groups]
 
-    def slices(row: str, limit: int) -> list[str]:
-        places = [m.span() for m in TOKEN.finditer(row)]
-        return [row[places[i][0] : places[min(i + limit, len(places)) - 1][1]] for i in range(0, len(places), limit)]
 
-    if count(content) <= size:
+def _rows(table: str) -> tuple[str, list[str], str]:
+    """What stands before the rows of a table with its header, the rows, and what stands after them: HTML rows, else lines,
+    where a second line of rules belongs to the header."""
+    html = [m.span() for m in re.finditer(r"(?is)<tr\b.*?</tr\s*>", table)]
+    if len(html) > 1:
+        return table[: html[0][1]], [table[a:b] for a, b in html[1:]], table[html[-1][1] :]
+    lines = table.splitlines(keepends=True)
+    ruled = len(lines) > 1 and "-" in lines[1] and not lines[1].strip(" \t\r\n|:-")
+    return "".join(lines[: 1 + ruled]), lines[1 + ruled :], ""
+
+
+def table_parts(content: str, size: int) -> list[str]:
+    """A table as parts of ``size`` tokens at most: whole rows, each part with the header (and, for HTML, the end) of the
+    table; a row that is too long itself is cut between tokens. A table without rows stays whole, one whose header leaves no
+    room is cut between tokens."""
+    if _count(content) <= size:
+        return [content]
+    head, rows, tail = _rows(content)
+    if not rows:
         return [content]
-    rows = re.findall(r"(?is)<tr[^>]*>.*?</tr>", content)
-    if len(rows) > 1:
-        head, tail = content[: content.find(rows[0])] + rows[0], content[content.rfind(rows[-1]) + len(rows[-1]) :]
-        rows = rows[1:]
-    else:
-        lines = content.splitlines(keepends=True)
-        if len(lines) < 2:
-            return [content]
-        ruled = 2 if re.fullmatch(r"\s*\|?(?:\s*:?-+:?\s*\|)+\s*", lines[1]) else 1
-        head, rows, tail = "".join(lines[:ruled]), lines[ruled:], ""
-    fixed = count(head + tail)
-    if fixed >= size:
-        return slices(content, size)
-    parts, held = [], ""
-    for row in rows:
-        if count(held) + count(row) + fixed <= size:
-            held += row
-            continue
-        if held:
-            parts.append(head + held + tail)
-        held = row if count(row) + fixed <= size else ""
-        if not held:
-            parts += [head + piece + tail for piece in slices(row, size - fixed)]
-    return parts + ([head + held + tail] if held else [])
+    room = size - _count(head + tail)
+    if room <= 0:
+        return _sliced(content, size)
+    units = [piece for row in rows for piece in ([row] if _count(row) <= room else _sliced(row, room))]
+    parts, used = [[]], 0
+    for unit, n in zip(units, map(_count, units), strict=True):
+        if parts[-1] and used + n > room:
+            parts.append([])
+            used = 0
+        parts[-1].append(unit)
+        used += n
+    return [head + "".join(p) + tail for p in parts]
 
 
 def split_tables(groups: DataFrame, size: int) -> DataFrame:
