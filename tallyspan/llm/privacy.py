@@ -51,7 +51,7 @@ _ID_LABEL = (
     r"|Steuer-?ID(?:entifikationsnummer)?|tax (?:identification|id)(?: (?:number|no\.?))?|身份证号?码?|护照号?码?)"
 )
 ID_NUMBER = regex.compile(
-    rf"{_ID_LABEL}\s*(?:is|lautet|:|：|-|–|=|是|为)?\s*"
+    rf"(?<![A-Za-z0-9]){_ID_LABEL}\s*(?:is|lautet|:|：|-|–|=|是|为)?\s*"
     r"(?P<v>\d{3}[- ]\d{2}[- ]\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]{1,2}\d{6,8}|\d{17}[\dX]|\d{2} \d{3} \d{3} \d{3}|\d{8,12})(?![\w]|-\d)",
     regex.I,
 )
@@ -126,21 +126,49 @@ CLOSING = regex.compile(
     rf"(?=(?P<r>(?: \p{{L}}\.)* {_PARTICLE}{_WORD}|, {_WORD})?)",
     regex.I,
 )
-#: What must be in a text for each detector to find something; the check runs in the JVM over all rows. Every entry is a
-#: superset of its detector.
-HINTS_OF = {
-    "email": r"[@＠]|(?i:[(\[{]at[)\]}]| dot )",
-    "id_number": r"(?i:ssn|soc(?:ial|\.) sec|ni n|n(?:ational )?i(?:nsurance)? n|national i|passport|id card|identity|steuer|tax i)|身份证|护照|(?<![A-Za-z0-9])[A-Z]{2}\d{2} ?[A-Z0-9]{4} ?[A-Z0-9]{4}",
-    "phone": r"\+\d|\(0?\d{1,4}\) ?\d|(?<![A-Za-z0-9])(?:00\d{2} |0\d{1,4} \d|1-\d{3}-|\d{3}[-.]\d{3}[-.]|0\d{4} |\d{9})",
-    "street_address": r"号|(?<![A-Za-z0-9])(?:(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Way|Terrace|Close|Court|Ct|Crescent|Place|Square|Boulevard|Blvd|Row|Walk|Mews|Gardens)\b"
-    r"|(?:rue|avenue|chemin|boulevard|place|allée|impasse|quai|route|cours) ?(?:d|[A-ZÀ-Þ])|(?:Am|An der|Auf der|Zum|Zur|Unter den) [A-ZÄÖÜ])"
-    r"|(?:Str\.|[Ss]tra(?:ß|ss)e|[Ww]eg|[Pp]latz|[Aa]llee|[Gg]asse|stieg|ufer|str\.) \d",
-    "person_name": r"收件人|联系人|我叫|(?<![A-Za-z0-9])(?:(?i:regards|thank|best,? *\n|cheers|sincerely|yours|cordialement|gr[uü][sß]|saludos|cc[ :]"
-    r"|(?:mr|mrs|ms|miss|dr|prof|herr|frau|mme|mlle|sr|sra)\b\.? |my name|jointly with|this is |i['’]m |ask(?:ed)? |owner|account holder|beneficiary|goes to"
-    r"|mein name|ich hei|je m['’]|mon nom|mi nombre|me llamo|mi chiamo|meu nome)"
-    r"|(?i:customer|client|tenant|patient|colleague|policyholder|shareholder|borrower|employee|contact|contact person|attn\.?|attention|signed by|witness|caller|kundin|kunde|cliente):? \p{Lu})",
-}
-HINTS = "|".join(HINTS_OF.values())
+# What must be in a text for a detector to find something; the check runs in the JVM over all rows. Together these are a
+# superset of the detectors. Most begin a word, and are only tried where one begins.
+#: Words without regard to case: labels of numbers and places of names, as patterns that begin with a letter.
+CUES = [
+    "ssn", r"soc(?:ial|\.) sec", "ni n", "n i n", "n insurance n", "national i", "passport", "id card", "identity", "resident identity", "steuer", "tax i",
+    "regards", "thank", r"best,? *\n", "cheers", "sincerely", "yours", "cordialement", "gr[uü][sß]", "saludos", "cc[ :]", "my name", "jointly with", "this is ", "i['’]m ", "ask(?:ed)? ",
+    "i asked", "owner", "account holder", "beneficiary", "goes to", *[rf"{t}\b\.? " for t in "mr mrs ms miss dr prof herr frau mme mlle sr sra".split()],
+    "mein name", "ich hei", "je m['’]", "mon nom", "mi nombre", "me llamo", "mi chiamo", "meu nome",
+    *[
+        rf"{w}:? (?-i:\p{{Lu}})"
+        for w in r"customer|client|tenant|patient|colleague|policyholder|shareholder|borrower|employee|contact|contact person|attn\.?|attention|signed by|witness|caller|kundin|kunde|cliente".split("|")
+    ],
+]
+#: Capitalised words of addresses, and what an account number looks like.
+CAPITALS = [
+    *[rf"{w}\b" for w in "Street St Road Rd Avenue Ave Lane Ln Drive Dr Way Terrace Close Court Ct Crescent Place Square Boulevard Blvd Row Walk Mews Gardens".split()],
+    *[f"{w} [A-ZÄÖÜ]" for w in ("Am", "An der", "Auf der", "Zum", "Zur", "Unter den")], r"[A-Z]{2}\d{2} ?[A-Z0-9]{4} ?[A-Z0-9]{4}",
+]
+DIGITS = [r"00\d{2} ", r"0\d{1,4} \d", r"1-\d{3}-", r"\d{3}[-.]\d{3}[-.]", r"0\d{4} ", r"\d{9}"]
+
+
+def _by_letter(patterns: list[str]) -> str:
+    """Alternatives grouped by the letter they begin with, so that a word is only tried by those of its own letter."""
+    groups: dict[str, list[str]] = {}
+    for p in patterns:
+        groups.setdefault(p[0], []).append(p[1:])
+    return "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(groups.items()))
+
+
+def hints(given: frozenset[str] = frozenset()) -> str:
+    """The pattern of all hints (for the JVM), with known given names before another capital."""
+    plain = [c for c in CAPITALS if not c.startswith("[")] + [f"{re.escape(g)} \\p{{L}}" for g in sorted(given) if g[:1].isupper()]
+    begins = (
+        rf"(?=\d)(?:{'|'.join(DIGITS)})|(?=\p{{Lu}})(?:{_by_letter(plain)}|{'|'.join(c for c in CAPITALS if c.startswith('['))})"
+        rf"|(?i:{_by_letter(CUES)})|(?:rue|avenue|chemin|boulevard|place|allée|impasse|quai|route|cours) ?(?:d|[A-ZÀ-Þ])"
+    )
+    return (
+        r"[@＠号]|\+\d|[(\[{](?:(?i:at)[)\]}]|0?\d{1,4}\) ?\d)| (?:(?i:dot) |\d(?<=(?:Str\.|tr\.|traße|trasse|[Ww]eg|latz|llee|asse|tieg|fer) \d))"
+        rf"|(?=[收联我身护])(?:收件人|联系人|我叫|身份证|护照)|(?<![A-Za-z0-9])(?:{begins})"
+    )
+
+
+HINTS = hints()
 TYPES = ("email", "id_number", "phone", "street_address", "person_name")
 _ENTITIES = T.ArrayType(
     T.StructType().add("pii_type", "string").add("start", "integer").add("stop", "integer").add("long_stop", "integer").add("family", "string")
@@ -261,14 +289,13 @@ def contents(events: DataFrame, memories: DataFrame) -> DataFrame:
 
 
 def _might_hold(content: Column, parts: Parts = Parts()) -> Column:
-    given = "|".join(re.escape(g) for g in sorted(parts.given))
-    return content.rlike(HINTS + (rf"|(?<![\p{{L}}'’.-])(?:{given}) \p{{L}}" if given else ""))
+    return content.rlike(hints(parts.given))
 
 
 def learned_families(rows: DataFrame, name_parts: DataFrame | None = None) -> DataFrame:
     """family: family names in lower case, those given and those that stand in unmistakable places of the corpus."""
     word = r"\p{L}[\p{L}'’]+(?:-\p{L}[\p{L}'’]+)*"
-    cue = r"(?i)(?:my name is|jointly with|\bcc|\b(?:Mr|Mrs|Ms|Dr|Frau|Herr)\.?|account holder is|owner=|\"owner\":\")"
+    cue = r"(?<![A-Za-z0-9])(?i:my name is|jointly with|cc|(?:Mr|Mrs|Ms|Dr|Frau|Herr)\.?|account holder is|owner=|\"owner\":\")"
     place = rf"{cue}\s*({word}(?: \p{{L}}\.)* (?:(?:van der|van den|van|von|de la|de|da|di) )?{word})"
     learned = (
         rows.where(F.col("content").rlike(cue))
