@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspan.operators import retrieval
+from tallyspan.session import cut
 
 MODES = ("lexical", "vector", "hybrid")
 #: Bounds of a request.
@@ -44,18 +45,32 @@ def _checked(query: str, mode: str, k: int) -> str:
     return query.strip()
 
 
-def hits(
-    candidates: DataFrame, query: str, mode: str = "lexical", vectors: DataFrame | None = None, query_vector: list[float] | None = None,
-    key: str = "chunk_id", text: str = "content", least: float = LEAST_SIMILARITY,
-) -> DataFrame:
-    """``key`` and score of all candidates that a mode finds. ``vectors`` has ``key`` and embedding."""
+def _lists(
+    candidates: DataFrame, query: str, mode: str, vectors: DataFrame | None, query_vector: list[float] | None, key: str, text: str
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """The lexical and the vector scores that a mode needs, the latter of all vectors of candidates."""
+    if mode != "lexical" and (vectors is None or query_vector is None):
+        raise ValueError(f"{mode} search needs vectors and a query vector")
     lexical = retrieval.bm25(candidates, query, key, text) if mode != "vector" else None
-    if mode == "lexical":
+    near = retrieval.cosine(vectors.join(candidates.select(key), key, "left_semi"), query_vector, key) if mode != "lexical" else None
+    return lexical, near
+
+
+def _hits(lexical: DataFrame | None, near: DataFrame | None, key: str, least: float) -> DataFrame:
+    """``key`` and score of everything found: one list, or the fusion of both; vectors below the threshold leave first."""
+    if near is None:
         return lexical
-    if vectors is None or query_vector is None:
-        raise ValueError(f"{mode} search needs vectors and a query vector")
-    near = retrieval.cosine(vectors.join(candidates.select(key), key, "left_semi"), query_vector, key).where(F.col("score") >= least)
-    return near if mode == "vector" else retrieval.fuse(lexical, near, key).select(key, "score")
+    close = near.where(F.col("score") >= least)
+    return close if lexical is None else retrieval.fuse(lexical, close, key).select(key, "score")
+
+
+def _chosen(held: DataFrame, scored: DataFrame, k: int, diversify_by: str | None, key: str) -> DataFrame:
+    """The candidates of the best k with their score and place."""
+    if diversify_by is None:
+        best = retrieval.top(scored, k, key).withColumnRenamed("rank", "place")
+    else:
+        best = retrieval.diversify(scored.join(held.select(key, diversify_by), key), diversify_by, k, key).withColumnRenamed("position", "place").drop(diversify_by)
+    return held.join(F.broadcast(best), key)  # k rows
 
 
 def search(
@@ -66,15 +81,12 @@ def search(
     """The best k candidates with their rank, merged where they overlap in one record, so that fewer than k may come out.
 
     Filters come first, then scores, threshold, fusion, diversification and the cut to k, and overlaps are merged at the end
-    among the k rows. With ``record`` the candidates hold it, start and stop (places in the record).
+    among the k rows. With ``record`` the candidates hold it, start and stop (places in the record). ``vectors`` has ``key``
+    and embedding.
     """
-    held = matching(candidates, filters, access)
-    scored = hits(held, _checked(query, mode, k), mode, vectors, query_vector, key, text, least)
-    if diversify_by is None:
-        best = retrieval.top(scored, k, key).withColumnRenamed("rank", "place")
-    else:
-        best = retrieval.diversify(scored.join(held.select(key, diversify_by), key), diversify_by, k, key).withColumnRenamed("position", "place").drop(diversify_by)
-    chosen = held.join(F.broadcast(best), key)  # k rows
+    asked, held = _checked(query, mode, k), matching(candidates, filters, access)
+    scored = _hits(*_lists(held, asked, mode, vectors, query_vector, key, text), key, least)
+    chosen = _chosen(held, scored, k, diversify_by, key)
     if record is None:
         return chosen.withColumn("rank", F.col("place").cast("bigint")).drop("place")
     return merge_hits(chosen, record, key, text)
@@ -117,17 +129,18 @@ def trace(
     candidates: DataFrame, query: str, mode: str, k: int, vectors: DataFrame | None = None, query_vector: list[float] | None = None,
     key: str = "chunk_id", text: str = "content", record: str = "record_id", least: float = LEAST_SIMILARITY,
 ) -> DataFrame:
-    """One row of counts: candidates, lexical hits, vectors before and after the threshold, chosen and returned chunks."""
-    none = candidates.limit(0).select(F.lit(0.0).alias("score"))
-    lexical = retrieval.bm25(candidates, query, key, text) if mode != "vector" else none
-    near = retrieval.cosine(vectors.join(candidates.select(key), key, "left_semi"), query_vector, key) if mode != "lexical" else none
-    found = hits(candidates, query, mode, vectors, query_vector, key, text, least)
-    returned = search(candidates, query, mode, k, vectors=vectors, query_vector=query_vector, key=key, text=text, record=record, least=least)
+    """One row of counts: candidates, lexical hits, vectors before and after the threshold, chosen and returned chunks.
+
+    The scores are written once and read by every count."""
+    none = candidates.limit(0).select(key, F.lit(0.0).alias("score"))
+    lexical, near = (None if x is None else cut(x) for x in _lists(candidates, _checked(query, mode, k), mode, vectors, query_vector, key, text))
+    found = cut(_hits(lexical, near, key, least))
+    returned = merge_hits(_chosen(candidates, found, k, None, key), record, key, text)
     one = lambda df, name, what=F.count("*"): df.agg(what.alias(name))
     return (
         one(candidates, "candidates")
-        .crossJoin(one(lexical, "lexical"))
-        .crossJoin(near.agg(F.count("*").alias("vector_before_threshold"), F.count_if(F.col("score") >= least).alias("vector")))
+        .crossJoin(one(none if lexical is None else lexical, "lexical"))
+        .crossJoin((none if near is None else near).agg(F.count("*").alias("vector_before_threshold"), F.count_if(F.col("score") >= least).alias("vector")))
         .crossJoin(one(found, "chosen", F.least(F.count("*"), F.lit(k).cast("bigint"))))
-        .crossJoin(one(returned, "returned"))
+        .crossJoin(one(returned, "returned"))  # every side is one row
     )
