@@ -21,19 +21,24 @@ def tokens(text: Column) -> Column:
 
 def count_tokens(text: Column) -> Column:
     """The number of ``tokens`` without building them: Latin words of two or more, and Han characters less runs."""
-    han = F.length(F.regexp_replace(text, "[^一-鿿]", ""))
-    return F.regexp_count(text, F.lit("[A-Za-z0-9_]{2,}")) + han - F.regexp_count(text, F.lit("[一-鿿]{2,}"))
+    latin = F.regexp_count(text, F.lit("[A-Za-z0-9_]{2,}"))
+    han = F.length(F.regexp_replace(text, "[^一-鿿]+", "")) - F.regexp_count(text, F.lit("[一-鿿]{2,}"))
+    return latin + F.when(text.rlike("[一-鿿]"), han).otherwise(0)  # most texts need one pass only
 
 
-def count_terms(text: Column, terms: list[str]) -> dict[str, Column]:
-    """How often each term is among the ``tokens`` of a text: one search for all Latin words, one for each Han bigram."""
+def term_hits(text: Column, terms: list[str]) -> Column:
+    """Every use of one of the Latin terms among the ``tokens`` of a text, found in one search."""
     latin = [t for t in terms if not "一" <= t[0] <= "鿿"]
-    hits = F.regexp_extract_all(F.lower(text), F.lit(f"(?<![a-z0-9_])(?:{'|'.join(latin)})(?![a-z0-9_])"), F.lit(0))
+    if not latin:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(F.lower(text), F.lit(f"(?<![a-z0-9_])(?:{'|'.join(latin)})(?![a-z0-9_])"), F.lit(0))
 
-    def times(term: str) -> Column:
-        return F.size(F.filter(hits, lambda x: x == F.lit(term)))
 
-    return {t: times(t) if t in latin else count_term(text, t) for t in terms}  # without Latin terms nothing asks for hits
+def times_in(hits: Column, term: str, text: Column) -> Column:
+    """How often a term is among the hits; Han terms are counted in the text."""
+    if "一" <= term[0] <= "鿿":
+        return count_term(text, term)
+    return F.size(F.filter(hits, lambda x: x == F.lit(term)))
 
 
 def count_term(text: Column, term: str) -> Column:

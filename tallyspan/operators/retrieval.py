@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyspan.functions.tokens import RUNS, count_terms, count_tokens, tokens
+from tallyspan.functions.tokens import RUNS, count_tokens, term_hits, times_in, tokens
 from tallyspan.operators.blocks import BLOCK, before, with_figures
 from tallyspan.session import cut
 
@@ -40,10 +40,10 @@ def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "tex
     question.
     """
     asked = sorted(query_terms(query).items())
-    counts = count_terms(F.col(text), [t for t, _ in asked])
-    counted = cut(
-        documents.where(F.col(text).isNotNull()).select(key, count_tokens(F.col(text)).alias("__n"), *[counts[t].alias(f"__f{i}") for i, (t, _) in enumerate(asked)])
-    )
+    held = documents.where(F.col(text).isNotNull())
+    # The hits are a column of their own, so that one search serves all terms.
+    searched = held.select(key, text, count_tokens(F.col(text)).alias("__n"), term_hits(F.col(text), [t for t, _ in asked]).alias("__hits"))
+    counted = cut(searched.select(key, "__n", *[times_in(F.col("__hits"), t, F.col(text)).alias(f"__f{i}") for i, (t, _) in enumerate(asked)]))
     figures = counted.agg(
         F.count("*").alias("__docs"),
         F.avg("__n").alias("__avg"),
