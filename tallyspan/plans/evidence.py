@@ -275,7 +275,17 @@ def oracle_sql(tokens: str, bm25, cosine: str) -> dict[str, str]:
     hybrid = f"""WITH {bm25()}, {cosine},
 a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm), b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM cos WHERE score >= 0.2 AND vec_id IN (SELECT doc_id FROM documents WHERE text IS NOT NULL)),
 x AS (SELECT doc_id, CAST(coalesce(1.0 / (60 + a.r), 0) AS DOUBLE) + CAST(coalesce(1.0 / (60 + b.r), 0) AS DOUBLE) AS score FROM a FULL JOIN b USING (doc_id))"""
+    blocks = """WITH p AS (SELECT DISTINCT tenant_id, user_id, document_id, page_number AS page, blocks_json FROM personal_document_pages WHERE json_valid(blocks_json)),
+u AS (SELECT tenant_id, user_id, document_id, page, unnest(CAST(blocks_json AS JSON[])) AS x, generate_subscripts(CAST(blocks_json AS JSON[]), 1) - 1 AS pos FROM p WHERE json_type(CAST(blocks_json AS JSON)) = 'ARRAY'),
+r AS (SELECT tenant_id, user_id, document_id, page, CAST(coalesce(TRY_CAST(json_extract_string(x, '$.order') AS INT), pos) AS INT) AS number, coalesce(lower(json_extract_string(x, '$.label')), 'text') AS label, trim(json_extract_string(x, '$.content'), ' ') AS content,
+  CASE WHEN lower(json_extract_string(x, '$.label')) = 'heading' THEN trim(json_extract_string(x, '$.content'), ' ') ELSE nullif(trim(json_extract_string(x, '$.paragraph_title'), ' '), '') END AS own FROM u),
+h AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY tenant_id, user_id, document_id ORDER BY page, number ROWS UNBOUNDED PRECEDING) AS title FROM r WHERE content <> '' AND label NOT IN ('header', 'header_image', 'footer', 'footer_image', 'number'))"""
     return {
+        "block_titles": f"{blocks} SELECT tenant_id, user_id, document_id, page, number, label, title FROM h",
+        "block_groups": f"""{blocks}, f AS (SELECT *, label IN ('table', 'chart') AS alone, CASE WHEN label IN ('table', 'chart') OR row_number() OVER w = 1 OR lag(title) OVER w IS DISTINCT FROM title OR lag(page) OVER w <> page OR lag(label) OVER w IN ('table', 'chart') THEN 1 ELSE 0 END AS b
+  FROM h WINDOW w AS (PARTITION BY tenant_id, user_id, document_id ORDER BY page, number)),
+g AS (SELECT *, sum(b) OVER (PARTITION BY tenant_id, user_id, document_id ORDER BY page, number ROWS UNBOUNDED PRECEDING) - 1 AS part FROM f)
+SELECT tenant_id, user_id, document_id, CAST(part AS BIGINT) AS part, CASE WHEN bool_or(alone) THEN max(label) ELSE 'text' END AS label, min(title) AS title, min(page) AS page, md5(string_agg(content, chr(10) || chr(10) ORDER BY number, content)) AS content FROM g GROUP BY tenant_id, user_id, document_id, part""",
         "search_lexical": rf"""WITH w AS (SELECT doc_id AS record_id, text AS whole, unnest(range(0, greatest(0, CAST(ceil((length(text) - 800) / 600.0) AS BIGINT)) + 1)) AS i FROM documents WHERE text IS NOT NULL),
 c AS (SELECT concat(record_id, '-', i) AS chunk_id, record_id, i * 600 AS start, least(i * 600 + 800, length(whole)) AS stop, substr(whole, i * 600 + 1, 800) AS content FROM w),
 runs AS (SELECT chunk_id, unnest(regexp_extract_all(content, '[A-Za-z0-9_]+|[{han}]+')) AS r FROM c),
