@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyspan.functions.tokens import RUNS, count_tokens, term_hits, times_in, tokens
+from tallyspan.functions.tokens import count_tokens, term_hits, times_in, tokens
 from tallyspan.operators.blocks import BLOCK, before, with_figures
 from tallyspan.session import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Vectors in a block; scores are rounded to these digits before they are ranked, so that equal vectors tie.
 VECTORS, DIGITS = 128, 12
+#: Texts and queries in a block of term counts, cells (rows times terms) of one as a matrix, blocks of texts that a task meets.
+TEXTS, QUERIES, CELLS, MET = 1024, 512, 1 << 22, 16
+#: Pairs of text and query that are scored at once.
+PAIRS = 20_000
+_TERMS = re.compile("[A-Za-z0-9_]{2,}|[一-鿿]+")
 
 
 def query_terms(query: str) -> Counter[str]:
     """The terms of a query as ``tokens`` makes them, with their number."""
-    out: Counter[str] = Counter()
-    for run in re.findall(RUNS, query):
-        if "一" <= run[0] <= "鿿":
-            out.update([run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)])
-        elif len(run) > 1:
-            out[run.lower()] += 1
-    return out
+    runs = " ".join(_TERMS.findall(query)).lower().split()
+    if query.isascii():
+        return Counter(runs)
+    han = lambda r: [r] if len(r) == 1 else [r[i : i + 2] for i in range(len(r) - 1)]
+    return Counter(t for r in runs for t in (han(r) if r[0] >= "一" else [r]))
 
 
 def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,20 +105,167 @@ def top_each(scored: DataFrame, k: int, query: str, key: str) -> DataFrame:
     return scored.withColumn("score", F.round("score", DIGITS)).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def bm25_each(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """query_id, ``key``, score and rank of the best k documents of every query; ``queries`` has query_id and ``text``."""
+def _counted(texts: DataFrame, rows: int, cells: int = CELLS) -> DataFrame:
+    """Blocks of term counts of the texts (id, text): their number and that of their tokens, the ids of those with terms,
+    the block's terms in order with the texts each is in (found), and per text, in the order of the terms, how many it has
+    (sizes), which (cols) and how often (times)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, kind = 0, pa.null()
+        ids: list = []
+        sizes: list[int] = []
+        cols: list[int] = []
+        times: list[int] = []
+        place: dict[str, int] = {}
+
+        def block() -> pa.RecordBatch:
+            terms = sorted(place)
+            order = np.empty(len(terms), dtype=np.int64)
+            order[np.asarray([place[t] for t in terms], dtype=np.int64)] = np.arange(len(terms))
+            c, f = order[np.asarray(cols, dtype=np.int64)], np.asarray(times, dtype=np.int64)
+            by_term = np.argsort(np.repeat(np.arange(len(ids)), sizes) * max(1, len(terms)) + c)
+            c, f = c[by_term], f[by_term]
+            small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+            made = {
+                "n": [n], "tokens": [int(f.sum())], "ids": pa.array([ids], pa.list_(kind)), "terms": [terms],
+                "found": [np.bincount(c, minlength=len(terms)).tolist()], "sizes": [np.asarray(sizes, dtype=np.int64).tobytes()], "cols": [small(c)], "times": [small(f)],
+            }
+            types = (pa.int64(), pa.int64(), None, pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([x if t is None else pa.array(x, t) for x, t in zip(made.values(), types, strict=True)], names=list(made))
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n += 1
+                terms = query_terms(text) if i is not None else {}
+                if terms:
+                    ids.append(i)
+                    sizes.append(len(terms))
+                    cols += [place.setdefault(t, len(place)) for t in terms]
+                    times += terms.values()
+                    if len(ids) >= rows or (len(ids) + 1) * len(place) > cells:
+                        yield block()
+                        n = 0
+                        for held in (ids, sizes, cols, times, place):
+                            held.clear()
+        if n:
+            yield block()
+
+    kind = texts.schema[0].dataType.simpleString()
+    return texts.mapInArrow(pack, f"n bigint, tokens bigint, ids array<{kind}>, terms array<string>, found array<bigint>, sizes binary, cols binary, times binary")
+
+
+def _unpacked(sizes: bytes, cols: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and count of a block's entries."""
+    s = np.frombuffer(sizes, dtype=np.int64)
+    rows = np.repeat(np.arange(len(s)), s)
+    wide = lambda x: np.frombuffer(x, dtype=f"u{len(x) // max(1, len(rows))}" if len(rows) else "u1").astype(np.int64)
+    return rows, wide(cols), wide(times)
+
+
+class _Asked:
+    """A block of queries with the best k texts that each has met so far.
+
+    A matrix product in single precision says which texts can be among the best: all its terms are positive, so a rough
+    score is off by no more than a share known beforehand. Those alone are scored in double precision, term by term in the
+    terms' order, so that texts with the same counts have the same score wherever they stand.
+    """
+
+    def __init__(self, ids: list, terms: list[str], entries: tuple[np.ndarray, np.ndarray, np.ndarray], found: np.ndarray, n: int, k: int):
+        rows, cols, times = entries
+        self.ids, self.k = ids, k
+        self.place = {t: i for i, t in enumerate(terms)}
+        idf = np.log(1 + (n - found + 0.5) / (found + 0.5))
+        self.weights = np.zeros((len(terms), len(ids)))
+        self.weights[cols, rows] = times * idf[cols]
+        self.rough = self.weights.astype(np.float32)
+        self.off = (int(np.bincount(rows).max()) + 8) * 2.0**-23
+        self.query, self.key, self.score = np.zeros(0, dtype=np.int64), None, np.zeros(0)
+        self.least = np.zeros(len(ids))
+
+    def meet(self, ids: list, terms: list[str], entries: tuple[np.ndarray, np.ndarray, np.ndarray], average: float) -> None:
+        rows, cols, times = entries
+        norm = K1 * (1 - B + B * np.maximum(np.bincount(rows, times, len(ids)), 1) / max(average, 1e-9))
+        weight = times * (K1 + 1) / (times + norm[rows])
+        place = np.asarray([self.place.get(t, -1) for t in terms], dtype=np.int64)
+        common = np.flatnonzero(place >= 0)
+        held = place[cols] >= 0
+        rows, cols, weight = rows[held], cols[held], weight[held]
+        matrix = np.zeros((len(ids), len(common)), dtype=np.float32)
+        matrix[rows, np.searchsorted(common, cols)] = weight
+        rough = matrix @ self.rough[place[common]]
+        near = (rough > 0) & (rough >= self.least)
+        if self.k < len(ids) and near.sum() > 2 * self.k * len(self.ids):
+            kth = np.partition(rough, len(ids) - self.k, axis=0)[len(ids) - self.k].astype(np.float64)
+            near &= rough >= kth * (1 - self.off) - 2 * 10.0**-DIGITS
+        texts, queries = np.nonzero(near)
+        starts = np.searchsorted(rows, np.arange(len(ids) + 1))
+        scores = []
+        for i in range(0, len(texts), PAIRS):
+            t, q = texts[i : i + PAIRS], queries[i : i + PAIRS]
+            counts = starts[t + 1] - starts[t]
+            pair = np.repeat(np.arange(len(t)), counts)
+            at = np.arange(len(pair)) + np.repeat(starts[t] - (np.cumsum(counts) - counts), counts)
+            scores.append(np.bincount(pair, self.weights[place[cols[at]], q[pair]] * weight[at], len(t)))
+        if scores:
+            self._keep(queries, np.asarray(ids)[texts], np.round(np.concatenate(scores), DIGITS))
+
+    def _keep(self, query: np.ndarray, key: np.ndarray, score: np.ndarray) -> None:
+        if self.key is not None:
+            query, key, score = (np.concatenate(x) for x in ((self.query, query), (self.key, key), (self.score, score)))
+        order = np.lexsort((key, -score, query))
+        query, key, score = query[order], key[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        last = rank == self.k - 1
+        self.least[query[last]] = score[last] * (1 - self.off) - 2 * 10.0**-DIGITS
+        self.query, self.key, self.score = query[rank < self.k], key[rank < self.k], score[rank < self.k]
+
+
+def bm25_each(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", rows: int = TEXTS, asked_rows: int = QUERIES) -> DataFrame:
+    """query_id, ``key``, score and rank of the best k documents of every query; ``queries`` has query_id and ``text``.
+
+    The documents are read once, into blocks of term counts. Every block of queries meets every block of documents; a task
+    keeps k documents per query of all that it meets, so that no pairs of query and document are written.
+    """
     held = documents.where(F.col(text).isNotNull()).select(key, text)
-    lengths = held.select(key, count_tokens(F.col(text)).alias("__n"))
-    figures = lengths.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__avg"))
-    terms = postings(held, key, text)
-    df = terms.groupBy("term").agg(F.count("*").alias("__d"))
-    norm = K1 * (1 - B + B * F.greatest(F.col("__n"), F.lit(1)) / F.greatest(F.col("__avg"), F.lit(1e-9)))
-    idf = F.log(1 + (F.col("__docs") - F.col("__d") + 0.5) / (F.col("__d") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    weighed = terms.join(df, "term").join(lengths, key).crossJoin(F.broadcast(figures)).select("term", key, weight.alias("__w"))
-    asked = postings(queries, "query_id", text).withColumnRenamed("tf", "__qf")
-    scored = asked.join(weighed, "term").groupBy("query_id", key).agg(F.sum(F.col("__qf") * F.col("__w")).alias("score"))
-    return top_each(scored.where("score > 0"), k, "query_id", key)
+    blocks = cut(_counted(held, rows))
+    figures = blocks.agg(F.sum("n"), F.sum("tokens"), F.count("*")).first()
+    n, average = figures[0] or 0, (figures[1] or 0) / max(1, figures[0] or 0)
+    wanted = cut(queries.where(F.col(text).isNotNull()).select("query_id", text))
+    # Somewhat more partitions than full blocks, so that an uneven one is still a single block.
+    asked = cut(_counted(wanted.repartition(max(1, math.ceil(1.25 * wanted.count() / asked_rows))), asked_rows)).withColumn("__block", F.monotonically_increasing_id())
+    found = blocks.select(F.explode(F.arrays_zip("terms", "found")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.found").alias("d"))
+    named = asked.select("__block", F.posexplode("terms").alias("at", "term")).join(found, "term", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("at", F.coalesce("d", F.lit(0)).alias("d"))))
+    in_texts = named.groupBy("__block").agg(F.transform(in_order, lambda x: x["d"]).alias("found"))
+    asked = asked.drop("found", "n", "tokens").join(in_texts, "__block")
+    asked = cut(asked.select("__block", *[F.col(c).alias(f"q_{c}") for c in ("ids", "terms", "sizes", "cols", "times", "found")]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, best, types = None, None, []
+
+        def kept() -> pa.RecordBatch:
+            columns = [[best.ids[q] for q in best.query], best.key.tolist(), best.score]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["query_id", key, "score"])
+
+        for batch in batches:
+            types = [*(batch.schema.field(c).type.value_type for c in ("q_ids", "ids")), pa.float64()]
+            for i in range(batch.num_rows):
+                get = lambda c, batch=batch, i=i: batch.column(c)[i].as_py()
+                if block != get("__block"):
+                    if best is not None and best.key is not None:
+                        yield kept()
+                    block = get("__block")
+                    best = _Asked(get("q_ids"), get("q_terms"), _unpacked(get("q_sizes"), get("q_cols"), get("q_times")), np.asarray(get("q_found")), n, k)
+                best.meet(get("ids"), get("terms"), _unpacked(get("sizes"), get("cols"), get("times")), average)
+        if best is not None and best.key is not None:
+            yield kept()
+
+    types = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (documents, key))]
+    met = blocks.where(F.size("ids") > 0).select("ids", "terms", "sizes", "cols", "times").repartition(max(1, math.ceil(figures[2] / MET)))
+    # One block of queries is held while the texts of a partition pass, so the queries are the outer side.
+    pairs = asked.repartition(max(1, asked.count())).hint("shuffle_replicate_nl").crossJoin(met)
+    return top_each(pairs.mapInArrow(score, f"query_id {types[0]}, {key} {types[1]}, score double"), k, "query_id", key)
 
 
 def cosine_each(vectors: DataFrame, queries: DataFrame, k: int | None, least: float = -1.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
