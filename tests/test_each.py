@@ -49,6 +49,13 @@ def test_all_documents_hand_on_the_best_only(spark, tmp_path, handed_on):
     assert len(got) == 25 * 20 and rows <= 25 * 20 * tasks
 
 
+def test_filtered_documents_hand_on_the_best_only(spark, tmp_path, handed_on):
+    documents(spark, tmp_path, 2500)
+    got = same_as_sql(spark, tmp_path, "bm25_filtered_each")
+    ((rows, tasks),) = handed_on
+    assert len(got) == 25 * 20 and rows <= 25 * 20 * tasks
+
+
 def test_small_blocks_give_the_same(spark, tmp_path):
     rows = documents(spark, tmp_path, 300)
     held = spark.read.parquet(f"{tmp_path}/documents.parquet")
