@@ -4,8 +4,7 @@ The lines of a page are labelled by a hidden Markov model with the states header
 features of its layout are observed: its place on the page, its shape, whether the same line (apart from numbers and
 misread letters) stands on another page of the document and how much of its use in the corpus is at edges, its width, and
 whether a blank line sets it off. A state emits each of them by a table of its own. The tables begin as rough guesses
-(``START``) and are fitted by Baum-Welch on about ``FIT_PAGES`` pages, taken by a hash; every page is decoded by the
-fitted model, whose labels are final.
+(``START``) and are fitted by Baum-Welch on all pages; every page is decoded by the fitted model, whose labels are final.
 
 Body and break lines are then put together again: words broken at line or page ends are joined, and words that the corpus
 knows only with other letters are corrected from the word counts of all pages.
@@ -30,7 +29,6 @@ from pyspark.sql import types as T
 
 from tallyspan.session import cut
 
-FIT_PAGES = 4_000
 ROUNDS = 4
 #: Weight of the first guesses beside the expected counts of a round.
 GUESS = 0.05
@@ -130,44 +128,12 @@ def layout(text: str) -> tuple[list[str], list[str], list[str]]:
     return lines, places, shapes
 
 
-def _line_keys(pages: DataFrame) -> DataFrame:
-    """doc, page, line, key and edge of all lines that could be a header: capitalised, short, without end mark."""
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, page, text in zip(batch["doc"], batch["page_number"], batch["text"], strict=True):
-                if text and "\n" in text:
-                    lines, places, shapes = layout(text)
-                    for i, (line, place, kind) in enumerate(zip(lines, places, shapes, strict=True)):
-                        if kind in HEADER_SHAPES:
-                            rows.append((doc, page, i, fold_line(line), place != "M" and int(place[1:]) < EDGE))
-            yield pd.DataFrame(rows, columns=["doc", "page_number", "line", "key", "edge"])
-
-    return pages.mapInPandas(keys, "doc bigint, page_number int, line int, key bigint, edge boolean")
-
-
-def edge_features(pages: DataFrame) -> DataFrame:
-    """Per page the marks of its lines that could be a header: an array of (line, mark); mark holds repetition
-    (r: on another page of the document, s: not) and use (hi: at edges five times or more). Lines that stand inside pages in
-    more than a fifth of their uses have none."""
-    keys = cut(_line_keys(pages))
-    corpus = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("edge").alias("n_edge"))
-    common = corpus.where("n_edge >= 0.8 * n")
-    document = keys.groupBy("doc", "key").agg((F.min("page_number") != F.max("page_number")).alias("again"))
-    share = F.when(F.col("n_edge") >= 5, "hi").otherwise("un")
-    marked = (
-        keys.join(common, "key")
-        .join(document, ["doc", "key"])
-        .select("doc", "page_number", "line", F.concat(F.when(F.col("again"), "r").otherwise("s"), share).alias("mark"))
-    )
-    return marked.groupBy("doc", "page_number").agg(F.collect_set(F.struct("line", "mark")).alias("marks"))
-
-
 FEATURES = ("place", "shape", "mark", "width", "off")
 PLACES = ("M", *(f"{side}{i}" for side in "TB" for i in range(2 * EDGE)))
 SHAPES = ("text", "blank", "num", "oddnum", "table", "value", "sentence", "caps", "title")
 _MARKS_SEEN = ("", "rhi", "shi", "run", "sun")
+#: Bits of a line's number in a page that are set aside for its mark.
+MARK_BITS = 3
 VALUES = dict(zip(FEATURES, (PLACES, SHAPES, _MARKS_SEEN, ("0", "12", "40", "80", "more"), ("", "off")), strict=True))
 #: What a state can't emit: a running header is a line that comes again at edges, a page number has the form of one.
 NEVER = 1e-30
@@ -204,16 +170,85 @@ MOVES = (
 )
 
 
-def _observations(text: str, marks) -> tuple[list[str], list[str], list[tuple[str, ...]]]:
-    lines, places, shapes = layout(text)
-    of = {m["line"]: m["mark"] for m in marks} if marks is not None else {}
-    out, last = [], len(lines) - 1
+# An observation as one number of mixed radix, the mark last; lines that have no mark yet have its first value.
+_RADIX = ("place", "shape", "width", "off", "mark")
+_SIZES = tuple(len(VALUES[f]) for f in _RADIX)
+_AT = {f: {v: i for i, v in enumerate(VALUES[f])} for f in FEATURES}
+
+
+def _observation(code: int) -> tuple[str, ...]:
+    """The values of ``FEATURES`` that a number stands for."""
+    at = dict(zip(_RADIX, np.unravel_index(code, _SIZES), strict=True))
+    return tuple(VALUES[f][at[f]] for f in FEATURES)
+
+
+def _unmarked(lines: list[str], places: list[str], shapes: list[str]) -> np.ndarray:
+    """The numbers of the lines' observations, without marks."""
+    out, last = np.zeros(len(lines), dtype="<u2"), len(lines) - 1
+    place_at, shape_at, width_at, off_at = (_AT[f] for f in _RADIX[:4])
     for i, (place, kind) in enumerate(zip(places, shapes, strict=True)):
         n = len(lines[i])
         off = kind != "blank" and (i == 0 or i == last or shapes[i - 1] == "blank" or shapes[i + 1] == "blank")
         width = "0" if kind == "blank" else "12" if n <= 12 else "40" if n <= 40 else "80" if n <= 80 else "more"
-        out.append((place, kind, of.get(i, ""), width, "off" if off else ""))
-    return lines, shapes, out
+        at = place_at[place] * _SIZES[1] + shape_at[kind]
+        out[i] = ((at * _SIZES[2] + width_at[width]) * _SIZES[3] + off_at["off" if off else ""]) * _SIZES[4]
+    return out
+
+
+def _looked_at(pages: DataFrame) -> DataFrame:
+    """doc, page_number, h and the observations without marks (seen) of all pages of more than one line, and of their lines
+    that could be a header (capitalised, short, without end mark) the number, the key and whether they are at an edge."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, page, h, text in zip(batch["doc"], batch["page_number"], batch["h"], batch["text"], strict=True):
+                if text and "\n" in text:
+                    lines, places, shapes = layout(text)
+                    at = [i for i, kind in enumerate(shapes) if kind in HEADER_SHAPES]
+                    edges = [places[i] != "M" and int(places[i][1:]) < EDGE for i in at]
+                    rows.append((doc, page, h, _unmarked(lines, places, shapes).tobytes(), at, [fold_line(lines[i]) for i in at], edges))
+            yield pd.DataFrame(rows, columns=["doc", "page_number", "h", "seen", "line", "key", "edge"])
+
+    kinds = "doc bigint, page_number int, h bigint, seen binary, line array<int>, key array<bigint>, edge array<boolean>"
+    return pages.select("doc", "page_number", "h", "text").mapInPandas(look, kinds)
+
+
+@F.pandas_udf(T.BinaryType())
+def _marked(seen: pd.Series, marks: pd.Series) -> pd.Series:
+    out = []
+    for s, m in zip(seen, marks, strict=True):
+        codes = np.frombuffer(s, dtype="<u2").copy()
+        if m is not None:
+            lines = np.asarray(m, dtype=np.int64)
+            codes[lines >> MARK_BITS] += (lines & ((1 << MARK_BITS) - 1)).astype("<u2")
+        out.append(codes.tobytes())
+    return pd.Series(out, dtype=object)
+
+
+def observed(pages: DataFrame) -> DataFrame:
+    """doc, page_number, h, the observations (seen) and the number (n) of all pages of more than one line.
+
+    Lines that could be a header are marked by repetition (r: on another page of the document, s: not) and use (hi: at edges
+    five times or more). Lines that stand inside pages in more than a fifth of their uses have no mark.
+    """
+    place = ["doc", "page_number", "h"]
+    held = cut(_looked_at(pages))
+    keys = held.select(*place, F.explode(F.arrays_zip("line", "key", "edge")).alias("x")).select(*place, "x.*")
+    corpus = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("edge").alias("n_edge"))
+    common = corpus.where("n_edge >= 0.8 * n")
+    document = keys.groupBy("doc", "key").agg((F.min("page_number") != F.max("page_number")).alias("again"))
+    share = F.when(F.col("n_edge") >= 5, "hi").otherwise("un")
+    mark = F.concat(F.when(F.col("again"), "r").otherwise("s"), share)
+    number = reduce(lambda c, i: c.when(mark == _MARKS_SEEN[i], i), range(2, len(_MARKS_SEEN)), F.when(mark == _MARKS_SEEN[1], 1))
+    marked = (
+        keys.where(F.col("page_number").isNotNull())
+        .join(common, "key")
+        .join(document, ["doc", "key"])
+        .groupBy(*place)
+        .agg(F.collect_set(F.shiftleft("line", MARK_BITS) + number).alias("marks"))
+    )
+    return held.groupBy(*place, "seen").agg(F.count("*").alias("n")).join(marked, place, "left").select(*place, _marked("seen", "marks").alias("seen"), "n")
 
 
 class Model:
@@ -231,15 +266,22 @@ class Model:
         rest = max(NEVER, 1 - sum(named.values())) / max(1, len(VALUES[feature]) - len(named))
         return [named.get(v, rest) for v in VALUES[feature]]
 
-    def _coded(self, pages: list[list[tuple[str, ...]]]) -> list[np.ndarray]:
-        coded = [np.asarray([self._codes.setdefault(o, len(self._codes)) for o in page], dtype=np.int64) for page in pages]
+    def _coded(self, pages: list[list[tuple[str, ...]]] | list[np.ndarray]) -> list[np.ndarray]:
+        """Pages, of observations or of their numbers, in the order in which the model met the observations."""
+        if any(isinstance(page, np.ndarray) for page in pages):
+            met = np.unique(np.concatenate(pages))
+            at = np.zeros(int(met.max(initial=0)) + 1, dtype=np.int64)
+            at[met] = [self._codes.setdefault(_observation(c), len(self._codes)) for c in met]
+            coded = [at[page] for page in pages]
+        else:
+            coded = [np.asarray([self._codes.setdefault(o, len(self._codes)) for o in page], dtype=np.int64) for page in pages]
         new = list(self._codes)[len(self._emit) :]
         if new:
             made = [sum(self.tables[f][:, VALUES[f].index(v)] for f, v in zip(FEATURES, o, strict=True)) for o in new]
             self._emit = np.vstack([self._emit, made])
         return coded
 
-    def _blocks(self, pages: list[list[tuple[str, ...]]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    def _blocks(self, pages: list[list[tuple[str, ...]]] | list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
         """Pages of like length as one matrix (line, page) of observation codes, and where it holds a line."""
         coded = self._coded(pages)
         order = sorted((i for i in range(len(pages)) if len(coded[i])), key=lambda i: len(coded[i]))
@@ -256,7 +298,7 @@ class Model:
             yield block, codes, filled
             at = end
 
-    def decode(self, pages: list[list[tuple[str, ...]]]) -> list[list[str]]:
+    def decode(self, pages: list[list[tuple[str, ...]]] | list[np.ndarray]) -> list[list[str]]:
         """The most likely states of the lines of every page."""
         out: list[list[str]] = [[] for _ in pages]
         for block, codes, filled in self._blocks(pages):
@@ -276,14 +318,17 @@ class Model:
                 out[i] = [STATES[s] for s in path[: int(filled[:, j].sum()), j]]
         return out
 
-    def expected(self, pages: list[list[tuple[str, ...]]]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected moves and, per observation code, expected uses of every state, by forward and backward passes."""
+    def expected(self, pages: list[list[tuple[str, ...]]] | list[np.ndarray], times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Expected moves and, per observation code, expected uses of every state, by forward and backward passes; ``times``
+        says how often each page is there."""
         moves, uses = np.zeros(self.moves.shape), np.zeros((0, len(STATES)))
+        times = np.ones(len(pages)) if times is None else np.asarray(times, dtype=float)
         go = np.exp(self.moves[1:])
         for block, codes, filled in self._blocks(pages):
             if len(uses) < len(self._emit):
                 uses = np.vstack([uses, np.zeros((len(self._emit) - len(uses), len(STATES)))])
-            emit = np.exp(self._emit[codes] - self._emit[codes].max(2, keepdims=True))
+            often = times[block]
+            emit = np.exp(self._emit - self._emit.max(1, keepdims=True))[codes]
             ahead, behind = np.zeros(emit.shape), np.ones(emit.shape)
             for t in range(len(codes)):
                 new = (np.exp(self.moves[0])[None] if t == 0 else ahead[t - 1] @ go) * emit[t]
@@ -293,13 +338,14 @@ class Model:
                 new = (behind[t + 1] * emit[t + 1]) @ go.T
                 behind[t] = np.where(filled[t + 1][:, None], new / new.sum(1, keepdims=True), 1.0)
             held = ahead * behind
-            held = held / held.sum(2, keepdims=True) * filled[:, :, None]
-            np.add.at(uses, codes.ravel(), held.reshape(-1, len(STATES)))
+            held = held / held.sum(2, keepdims=True) * (filled * often)[:, :, None]
+            for state in range(len(STATES)):
+                uses[:, state] += np.bincount(codes.ravel(), held[:, :, state].ravel(), len(uses))
             moves[0] += held[0].sum(0)
             for t in range(1, len(codes)):
-                both = ahead[t - 1][:, :, None] * go[None] * (emit[t] * behind[t])[:, None, :]
-                both = both / both.sum((1, 2), keepdims=True)
-                moves[1:] += both[filled[t]].sum(0)
+                after = emit[t] * behind[t]
+                share = np.where(filled[t], often / ((ahead[t - 1] @ go) * after).sum(1), 0.0)
+                moves[1:] += go * ((ahead[t - 1] * share[:, None]).T @ after)
         return moves, uses
 
     @classmethod
@@ -317,31 +363,23 @@ class Model:
         return cls(np.log(smooth / smooth.sum(1, keepdims=True)), logs)
 
 
-def fit_model(pages: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over the pages (text, marks): tasks sum the expected counts of their pages, the driver gets a row per
-    kind of observation."""
-
-    def observed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            held = [_observations(t, m)[2] for t, m in zip(batch["text"], batch["marks"], strict=True) if t and "\n" in t]
-            yield pd.DataFrame({"page": ["\n".join("|".join(o) for o in page) for page in held]})
-
-    # Only what is observed is kept for the rounds; equal pages are counted once.
-    seen = cut(pages.select("text", "marks").mapInPandas(observed, "page string").groupBy("page").agg(F.count("*").alias("n")))
+def fit_model(seen: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch over the observations of all pages (seen, n): tasks sum the expected counts of their pages, the driver gets
+    a row per kind of observation."""
+    # Pages with the same observations are counted once, with their number.
+    alike = cut(seen.groupBy("seen").agg(F.sum("n").alias("n")))
     model = Model()
     for _ in range(rounds):
         current = model
 
         def count(batches: Iterator[pd.DataFrame], current: Model = current) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows: list[tuple[str, list[float]]] = []
-                for n, part in batch.groupby("n"):
-                    moves, uses = current.expected([[tuple(o.split("|")) for o in page.split("\n")] for page in part["page"]])
-                    rows += [(f">{a}", [float(x) * n for x in line]) for a, line in enumerate(moves)]
-                    rows += [("|".join(o), [float(x) * n for x in uses[c]]) for o, c in current._codes.items() if c < len(uses)]
+                moves, uses = current.expected([np.frombuffer(x, dtype="<u2") for x in batch["seen"]], batch["n"].to_numpy())
+                rows = [(f">{a}", line.tolist()) for a, line in enumerate(moves)]
+                rows += [("|".join(o), uses[c].tolist()) for o, c in current._codes.items() if c < len(uses)]
                 yield pd.DataFrame(rows, columns=["what", "n"])
 
-        summed = seen.mapInPandas(count, "what string, n array<double>").groupBy("what").agg(*[F.sum(F.get("n", i)).alias(f"n{i}") for i in range(len(STATES))])
+        summed = alike.mapInPandas(count, "what string, n array<double>").groupBy("what").agg(*[F.sum(F.get("n", i)).alias(f"n{i}") for i in range(len(STATES))])
         counts = {r["what"]: np.asarray(r[1:], dtype=float) for r in summed.collect()}
         if not counts:
             return model
@@ -468,10 +506,10 @@ def labelled_marks(pages: DataFrame, model: Model, settled: frozenset[str]) -> D
         decoder = Model(moves, tables)
         for batch in batches:
             rows: list[tuple] = []
-            held = [r for r in batch[[*KEYS, "page_number", "h", "text", "marks"]].itertuples(index=False, name=None) if r[5] and r[5].strip()]
-            seen = [_observations(r[5], r[6]) for r in held]
-            decoded = decoder.decode([o if len(o) > 1 else [] for _, _, o in seen])
-            for (tenant, user, document, page, h, _, _), (lines, _, _), states in zip(held, seen, decoded, strict=True):
+            held = [r for r in batch[[*KEYS, "page_number", "h", "text", "seen"]].itertuples(index=False, name=None) if r[5] and r[5].strip()]
+            decoded = decoder.decode([np.frombuffer(r[6] or b"", dtype="<u2") for r in held])
+            for (tenant, user, document, page, h, text, _), states in zip(held, decoded, strict=True):
+                lines = text.replace("\r", "").split("\n")
                 put = lambda no, kind, token="", other="": rows.append((tenant, user, document, page, h, no, kind, token, other))  # noqa: E731,B023
                 broken: tuple[int, str, str] | None = None
                 first = True
@@ -528,12 +566,11 @@ def noise(pages: DataFrame) -> DataFrame:
     broken at its end) and, for words broken across pages, the punctuation after their end (tail_mark). Rows of type
     'carried' say that the first word of a page belongs to the page before."""
     narrow = narrowed(pages)
-    features = cut(edge_features(narrow.select("doc", "page_number", "text")))
-    joined = narrow.join(features, ["doc", "page_number"], "left")
-    share = min(1.0, FIT_PAGES / max(1, narrow.select("doc").count()))
-    low = F.xxhash64("doc", "page_number").bitwiseAND(F.lit((1 << 32) - 1)) < int(share * (1 << 32))
-    fitted = narrow.where(low | F.lit(share >= 1)).join(features, ["doc", "page_number"], "left")
-    model = fit_model(fitted)
+    seen = cut(observed(narrow))
+    page = ["doc", "page_number", "h"]
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in page])
+    joined = narrow.join(seen.select(*[F.col(c).alias(f"__{c}") for c in page], "seen"), same, "left")
+    model = fit_model(seen)
     words = cut(word_counts(narrow))
     fixes = cut(corrections(words))
     settled = frozenset(
