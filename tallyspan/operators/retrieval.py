@@ -23,8 +23,8 @@ K1, B, RRF_K = 1.2, 0.75, 60
 VECTORS, DIGITS = 128, 12
 #: Texts and queries in a block of term counts, cells (rows times terms) of one as a matrix, blocks of texts that a task meets.
 TEXTS, QUERIES, CELLS, MET = 1024, 512, 1 << 22, 16
-#: Pairs of text and query that are scored at once.
-PAIRS = 20_000
+#: Terms of texts that are scored at once.
+ENTRIES = 1 << 21
 _TERMS = re.compile("[A-Za-z0-9_]{2,}|[一-鿿]+")
 
 
@@ -136,18 +136,19 @@ def _counted(texts: DataFrame, rows: int, cells: int = CELLS) -> DataFrame:
         for batch in batches:
             kind = batch.schema.field(0).type
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n += 1
                 terms = query_terms(text) if i is not None else {}
+                # A text of very many terms begins a block of its own.
+                if ids and (len(ids) >= rows or (len(ids) + 1) * (len(place) + len(terms)) > cells):
+                    yield block()
+                    n = 0
+                    for held in (ids, sizes, cols, times, place):
+                        held.clear()
+                n += 1
                 if terms:
                     ids.append(i)
                     sizes.append(len(terms))
                     cols += [place.setdefault(t, len(place)) for t in terms]
                     times += terms.values()
-                    if len(ids) >= rows or (len(ids) + 1) * len(place) > cells:
-                        yield block()
-                        n = 0
-                        for held in (ids, sizes, cols, times, place):
-                            held.clear()
         if n:
             yield block()
 
@@ -199,16 +200,17 @@ class _Asked:
             kth = np.partition(rough, len(ids) - self.k, axis=0)[len(ids) - self.k].astype(np.float64)
             near &= rough >= kth * (1 - self.off) - 2 * 10.0**-DIGITS
         texts, queries = np.nonzero(near)
+        if not len(texts):
+            return
         starts = np.searchsorted(rows, np.arange(len(ids) + 1))
+        counts = starts[texts + 1] - starts[texts]
+        parts = np.flatnonzero(np.diff(np.cumsum(counts) // ENTRIES)) + 1
         scores = []
-        for i in range(0, len(texts), PAIRS):
-            t, q = texts[i : i + PAIRS], queries[i : i + PAIRS]
-            counts = starts[t + 1] - starts[t]
-            pair = np.repeat(np.arange(len(t)), counts)
-            at = np.arange(len(pair)) + np.repeat(starts[t] - (np.cumsum(counts) - counts), counts)
+        for t, q, c in zip(*(np.split(x, parts) for x in (texts, queries, counts)), strict=True):
+            pair = np.repeat(np.arange(len(t)), c)
+            at = np.arange(len(pair)) + np.repeat(starts[t] - (np.cumsum(c) - c), c)
             scores.append(np.bincount(pair, self.weights[place[cols[at]], q[pair]] * weight[at], len(t)))
-        if scores:
-            self._keep(queries, np.asarray(ids)[texts], np.round(np.concatenate(scores), DIGITS))
+        self._keep(queries, np.asarray(ids)[texts], np.round(np.concatenate(scores), DIGITS))
 
     def _keep(self, query: np.ndarray, key: np.ndarray, score: np.ndarray) -> None:
         if self.key is not None:

@@ -67,3 +67,13 @@ def test_small_blocks_give_the_same(spark, tmp_path):
     named = held.selectExpr("concat('d', doc_id) AS doc_id", "text")
     assert retrieval.bm25_each(named, asked, 5).count() == len(want)
     assert retrieval.bm25_each(held.limit(0), asked, 5).count() == 0 and retrieval.bm25_each(held, asked.limit(0), 5).count() == 0
+
+
+def test_a_text_of_very_many_terms_has_a_block_of_its_own(spark):
+    texts = [(i, f"bank bond rate{i % 3}") for i in range(60)]
+    texts.insert(30, (99, " ".join(f"w{i}" for i in range(3000)) + " bank"))
+    held = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    blocks = [(len(r["ids"]), len(r["terms"])) for r in retrieval._counted(held, 40, 4000).collect()]
+    assert blocks == [(30, 5), (1, 3001), (30, 5)]
+    got = retrieval.bm25_each(held, held.where("doc_id = 99").selectExpr("doc_id AS query_id", "text"), 3).collect()
+    assert [(r["doc_id"], r["rank"]) for r in got] == [(99, 1), (0, 2), (1, 3)]
